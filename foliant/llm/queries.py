@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm.common import table
 
@@ -17,8 +18,42 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.line_dedup import drop_lines
+
+    kept = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_simhash": op5_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL. A-Z are lower-cased by translate(), which leaves other letters alone.
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, u.i AS i, u.line AS line,
+         translate(regexp_replace(u.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+  FROM (SELECT doc_id, unnest(list_zip(string_split(coalesce(text, ''), chr(10)),
+                                       range(len(string_split(coalesce(text, ''), chr(10)))))) AS z FROM documents),
+       LATERAL (SELECT z[1] AS line, z[2] AS i) u),
+common AS (SELECT line_key FROM lines WHERE length(line_key) >= 1
+           GROUP BY line_key HAVING count(DISTINCT doc_id) >= 10)
+SELECT l.doc_id, count(*) AS n_lines, count(c.line_key) AS n_dropped,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE c.line_key IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN common c ON l.line_key = c.line_key
+GROUP BY l.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": LINE_DEDUP_SQL,
+}
