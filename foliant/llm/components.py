@@ -6,12 +6,29 @@ executors. Each round is cut to the shared folder, so its lineage stays short.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import cut
 
 
+class Forest:
+    """Union-find over the rows of a buffer."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.label[i], self.label[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while (up := self.label[self.label]).tobytes() != self.label.tobytes():
+                self.label = up
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
     return row["n"], row["h"]

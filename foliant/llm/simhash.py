@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import cut, slices
-from foliant.llm.components import components
+from foliant.llm.components import Forest, components
 
 SEGMENTS, DISTANCE = 7, 2
 #: Runs up to this length are compared by shifts, longer ones by looking up the few values that may link.
@@ -93,22 +93,6 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) ->
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
-class Forest:
-    """Union-find over the rows of a buffer."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
-            a, b = self.label[i], self.label[j]
-            apart = a != b
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
-            while (up := self.label[self.label]).tobytes() != self.label.tobytes():
-                self.label = up
-
-
 def link_runs(start: np.ndarray, fp: np.ndarray, loose: np.ndarray) -> np.ndarray:
     """The label of each row: rows of one run (``start``: index of its first row) that are linked share one."""
     n, forest = len(fp), Forest(len(fp))
