@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from foliant.llm.common import table
 
 
+def op1_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.ego_join import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,10 +37,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ego_join": op1_ego_join,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op5_simhash": op5_simhash,
+    "op9_language_id": op9_language_id,
 }
 
 #: DuckDB SQL. A-Z are lower-cased by translate(), which leaves other letters alone.
@@ -54,6 +69,23 @@ FROM lines l LEFT JOIN common c ON l.line_key = c.line_key
 GROUP BY l.doc_id
 """
 
+EGO_JOIN_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
+LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON c.a = e.vec_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_ego_join": EGO_JOIN_SQL,
     "op3_line_dedup": LINE_DEDUP_SQL,
 }
