@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker turns into objects at once; a longer single text is its own slice.
@@ -38,7 +39,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch
         return
     start, held = 0, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
     for i, n in enumerate(sizes):
         if held and held + n > limit:
             yield batch.slice(start, i - start)
