@@ -31,12 +31,54 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+#: The dated list that op4 evaluates: (kind, pattern, action, at).
+LIST_EVENTS = [
+    ("domain", "spam-farm.example.org", "add", "2024-01-15 00:00:00"),
+    ("domain", "spam-farm.example.org", "remove", "2024-05-01 00:00:00"),
+    ("domain", "spam-farm.example.org", "add", "2024-09-01 00:00:00"),
+    ("domain", "cheap-pills.example.com", "add", "2024-03-01 00:00:00"),
+    ("host", "blog.ththan.example.net", "add", "2024-02-01 00:00:00"),
+    ("host", "blog.ththan.example.net", "remove", "2024-08-01 00:00:00"),
+    ("domain", "ththed.example.org", "add", "2024-04-10 00:00:00"),
+    ("domain", "ththed.example.org", "remove", "2024-10-10 00:00:00"),
+    ("prefix", "ththin.example.com/en", "add", "2024-06-01 00:00:00"),
+    ("prefix", "https://thther.example.org/en", "add", "2024-02-15 00:00:00"),
+    ("prefix", "https://thther.example.org/en", "remove", "2024-11-15 00:00:00"),
+    ("host", "www.ththwh.example.org", "remove", "2024-03-01 00:00:00"),
+]
+
+
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of pages has no fetch time: a day of 2024 drawn from the page id stands in for it."""
+    from foliant.llm.url_lists import filter_urls
+
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).cast("timestamp")
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+    events = spark.createDataFrame(LIST_EVENTS, "kind string, pattern string, action string, at string")
+    return filter_urls(captures, events).select("page_id", "host", "blocked", "rule_kind", "rule", F.date_format("listed_since", "yyyy-MM-dd").alias("listed_since"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=3)
 
 
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source stands for the host and the language for the section below it."""
+    from foliant.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_fit=20_000)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from foliant.llm.spiece import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.language_id import fit, identify
 
@@ -48,7 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ego_join": op1_ego_join,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op4_url_lists": op4_url_lists,
     "op5_simhash": op5_simhash,
+    "op6_site_quality": op6_site_quality,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_language_id": op9_language_id,
 }
 
@@ -85,7 +130,41 @@ FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON
 LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON c.a = e.vec_id
 """
 
+URL_LISTS_SQL = r"""
+WITH events(kind, pattern, action, moment) AS (VALUES
+  {events}),
+named AS (
+  SELECT kind, action, CAST(moment AS TIMESTAMP) AS moment,
+         CASE WHEN kind = 'prefix'
+              THEN lower(regexp_extract(bare, '^[^/]*')) || regexp_extract(bare, '^[^/]*(.*?)/*$', 1)
+              ELSE lower(regexp_extract(bare, '^[^/]*')) END AS pattern
+  FROM (SELECT *, regexp_replace(pattern, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM events)),
+single AS (SELECT kind, pattern, moment, max(action) AS action FROM named GROUP BY ALL),
+listed AS (
+  SELECT * FROM (SELECT kind, pattern, action, moment AS since,
+                        lead(moment) OVER (PARTITION BY kind, pattern ORDER BY moment) AS until FROM single)
+  WHERE action = 'add'),
+captures AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 366 AS INTEGER)) AS fetched,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*(?::[0-9]*)?([^?#]*)', 1) AS path
+  FROM pages),
+hits AS (
+  SELECT c.page_id, l.kind, l.pattern, l.since,
+         row_number() OVER (PARTITION BY c.page_id ORDER BY
+           CASE l.kind WHEN 'prefix' THEN 2 WHEN 'host' THEN 1 ELSE 0 END DESC, length(l.pattern) DESC) AS place
+  FROM captures c JOIN listed l
+    ON c.host <> '' AND c.fetched >= l.since AND (l.until IS NULL OR c.fetched < l.until)
+   AND CASE l.kind WHEN 'host' THEN c.host = l.pattern
+                   WHEN 'domain' THEN c.host = l.pattern OR ends_with(c.host, '.' || l.pattern)
+                   ELSE c.host = l.pattern OR c.host || c.path = l.pattern OR starts_with(c.host || c.path, l.pattern || '/') END)
+SELECT c.page_id, coalesce(c.host, '') AS host, h.page_id IS NOT NULL AS blocked, h.kind AS rule_kind, h.pattern AS rule,
+       strftime(h.since, '%Y-%m-%d') AS listed_since
+FROM captures c LEFT JOIN hits h ON h.page_id = c.page_id AND h.place = 1
+""".replace("{events}", ",\n  ".join(str(e) for e in LIST_EVENTS))
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ego_join": EGO_JOIN_SQL,
     "op3_line_dedup": LINE_DEDUP_SQL,
+    "op4_url_lists": URL_LISTS_SQL,
 }
