@@ -79,6 +79,20 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive as one append of small shards and are compacted; each then tells the shard that holds it."""
+    import uuid
+
+    from foliant.llm.common import shared_dir
+    from foliant.llm.compaction import ShardStore
+
+    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", target_bytes=128 << 20, fan_in=4)
+    store.append(table(spark, sf_dir, "documents"))
+    store.compact()
+    store.vacuum(keep=1)
+    return store.read().select("doc_id", "shard", "shard_rows", "version", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliant.llm.language_id import fit, identify
 
@@ -86,6 +100,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliant.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ego_join": op1_ego_join,
     "op2_token_counts": op2_token_counts,
@@ -94,7 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_site_quality": op6_site_quality,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_compaction": op8_compaction,
     "op9_language_id": op9_language_id,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: DuckDB SQL. A-Z are lower-cased by translate(), which leaves other letters alone.
