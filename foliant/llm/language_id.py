@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.llm.common import slices
 
@@ -137,15 +138,21 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(sorted(size), entries)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, lang_pred, score. Only the text decides."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Per row: id, held_out, lang_pred, score. Only the text decides.
+
+    With ``carry`` all columns of ``docs`` come along; those named like the added ones are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
+    own = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    rows = docs.select(*own, held_out(id_col).alias("held_out")) if carry else docs.select(F.col(id_col), F.col(text_col), held_out(id_col).alias("held_out"))
+    kept = [*own, "held_out"] if carry else [id_col, "held_out"]
+    schema = T.StructType([rows.schema[c] for c in kept]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                langs, score = shared.value.predict(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column("held_out"), pa.array(langs), pa.array(score)], names=[id_col, "held_out", "lang_pred", "score"])
+            for part in slices(batch, text_col):
+                langs, score = shared.value.predict(part.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(langs), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
