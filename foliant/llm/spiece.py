@@ -128,7 +128,8 @@ class Encoder:
         self.known: dict[str, tuple[int, ...]] = {}
         self.apart: dict[tuple[str, str], bool] = {}
         self.ties = {s for s, n in _tally(pieces.score[i] for i in pieces.id.values()).items() if n > 1}
-        self.halves = lru_cache(maxsize=None)(self._halves)  # one entry a piece at most
+        self.halves = lru_cache(maxsize=None)(self._halves)  # one entry a piece at most, as below
+        self.in_order = lru_cache(maxsize=None)(self._in_order)
         by_last: dict[str, set[int]] = {}
         for t in pieces.id:
             by_last.setdefault(t[-1], set()).add(len(t))
@@ -150,12 +151,22 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return (parts[0], parts[1]) if len(parts) == 2 else ("", "")
 
+    def _in_order(self, text: str) -> bool:
+        """Whether the parts of a piece, down to characters, are all merged before what they make up."""
+        parts = self.halves(text)
+        if parts is None:
+            return True
+        own = self.p.score[self.p.id[text]]
+        return all(len(x) == 1 or (self.p.score[self.p.id[x]] >= own and self.in_order(x)) for x in parts)
+
     def _stay(self, a: str, b: str) -> bool:
         """Whether the merges of a + b leave a and b: undo the last merges on both sides, looking for one across.
 
         Of equal scores the leftmost merges first, so a merge across comes before an equal one in b and after one in a.
         """
         ids, score = self.p.id, self.p.score
+        if not (self.in_order(a) and self.in_order(b)):
+            return self.p.merged(a + b) == [a, b]
         left, right = a, b
         last, right_undone = -float("inf"), False
         while True:
