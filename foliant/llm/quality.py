@@ -121,7 +121,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     n = known.count()
     share = min(1.0, max_fit / n) if n else 0.0
     drawn = known.where(F.pmod(F.xxhash64(F.col("id"), F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "x", "y").orderBy("id", "y").toPandas()
-    weights = fit(np.array(drawn["x"].tolist(), float).reshape(len(drawn), -1), drawn["y"].to_numpy())
+    weights = fit(np.array(drawn["x"].tolist(), float).reshape(-1, len(FEATURES)), drawn["y"].to_numpy())
 
     path = known.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k"))
     host = path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
