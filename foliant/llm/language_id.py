@@ -52,7 +52,7 @@ class Model:
         rows = []
         for n, table in sorted(tables.items()):
             counts = np.array(list(table.values()))
-            logs = np.log(counts + SMOOTH) - np.log(counts.sum(0) + SMOOTH * len(table))
+            logs = np.log(counts + SMOOTH) - np.log(counts.sum(0) + SMOOTH * (len(table) + 1))
             for text in table:
                 (self.grams if n else self.words)[text] = len(self.words) + len(self.grams)
             rows.append(logs)
