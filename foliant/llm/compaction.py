@@ -23,6 +23,8 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,12 +141,24 @@ class ShardStore:
                 return latest["version"]
             schema = T.StructType.fromJson(latest["schema"])
             parts = [self.spark.read.schema(schema).parquet(*[f"{self.root}/{s['path']}" for s in g]).coalesce(1) for g in groups]
-            made = self._write(reduce(DataFrame.unionAll, parts))
+            with self._apart():
+                made = self._write(reduce(DataFrame.unionAll, parts))
             before, after = sum(s["rows"] for g in groups for s in g), sum(s["rows"] for s in made)
             if before != after:
                 raise RuntimeError(f"the merge read {before} rows and wrote {after}")
             self._commit(made, {s["path"] for g in groups for s in g}, latest["schema"])
 
+    @contextmanager
+    def _apart(self) -> Iterator[None]:
+        """While in force, a union of one-partition tables has one partition for each, not one for all."""
+        name = "spark.sql.unionOutputPartitioning"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "false")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     def vacuum(self, keep: int = 2) -> None:
         """Drop all but the last ``keep`` versions and the files that none of those names. Not while others write or read."""
         versions = self.versions()
