@@ -12,6 +12,7 @@ from foliant import constants as K
 from foliant.functions.geometry import overlap_ratio
 from foliant.functions.uri import supported_uri
 from foliant.operators import layout, links, pagination, resolve
+from foliant.plans.materialize import cut
 
 LINK = ["doc_id", "kind", "source_page", "rect", "target_page", "uri", "label", "title", "printed_label", "printed_number", "label_kind", "matched_by", "confidence", "evidence"]
 
@@ -49,31 +50,33 @@ def _as_links(rows: DataFrame, **given: Column) -> DataFrame:
 def automatic_plan(words: DataFrame, pages: DataFrame, annotations: DataFrame, options: Options = Options(), toc_pages: DataFrame | None = None) -> Plan:
     """Contents rows become internal links, addresses external ones; whatever is ambiguous asks for review.
 
-    ``words`` should be persisted or read from a table: lines, labels, anchors and addresses are all made from it.
+    ``words`` should be read from a table: lines, labels, anchors and addresses are all made from it. Lines, page facts,
+    labels, segments and resolved rows feed several branches each, so they are written once to the checkpoint folder.
     ``toc_pages`` (doc_id, page_index) replaces detection.
     """
-    lines = layout.group_lines(words)
-    rows = layout.toc_rows(lines, pages)
-    facts = layout.page_facts(words, pages, lines, rows)
-    labels = layout.margin_labels(words, pages)
-    contents = pagination.detect_toc_pages(facts, toc_pages if toc_pages is not None else layout.seed_toc_pages(facts), toc_pages is not None)
+    lines = cut(layout.group_lines(words))
+    rows = cut(layout.toc_rows(lines, pages))
+    facts = cut(layout.page_facts(words, pages, lines, rows))
+    labels = cut(layout.margin_labels(words, pages))
+    contents = cut(pagination.detect_toc_pages(facts, toc_pages if toc_pages is not None else layout.seed_toc_pages(facts), toc_pages is not None))
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("page_count"))
-    blocks = pagination.contents_blocks(contents, counts)
+    blocks = cut(pagination.contents_blocks(contents, counts))
     placed = rows.join(blocks.select("doc_id", "block_index", "start_page", "end_page"), "doc_id").where("page_index between start_page and end_page").drop("start_page", "end_page")
     segments = pagination.pagination_segments(labels, blocks)
     if options.page_offset is not None:
         segments = pagination.manual_offset_segments(placed, options.page_offset)
+    segments = cut(segments)
     completeness = layout.toc_completeness(facts, contents)
     rotated = pages.where(F.pmod("rotate", F.lit(360)) != 0).select("doc_id", "page_index")
     existing = links.link_annotations(annotations)
     held = existing.where("kind <> 'other'").select("doc_id", "page_index", "rect")
 
-    found = resolve.resolve_rows(placed, segments, labels, facts, blocks, contents)
+    found = cut(resolve.resolve_rows(placed, segments, labels, facts, blocks, contents))
     usable = F.col("target_page").isNotNull() & (F.col("target_page") != F.col("page_index"))
     keyed = found.withColumn("link_seq", F.struct("page_index", "line_no")).withColumn("source_page", F.col("page_index"))
     there = links.overlapping_links(keyed.where(usable).select("doc_id", "link_seq", "source_page", "rect", "target_page"), existing.where("kind <> 'other'"))
     met = there.groupBy("doc_id", "link_seq").agg(F.bool_or((F.col("there_kind") == "internal") & (F.col("there_target") == F.col("target_page"))).alias("agrees"), F.bool_and((F.col("there_kind") == "internal") & (F.col("there_target") == F.col("target_page"))).alias("all_agree"))
-    judged = keyed.join(met, ["doc_id", "link_seq"], "left")
+    judged = cut(keyed.join(met, ["doc_id", "link_seq"], "left"))
     covered = judged.where(usable & F.col("all_agree"))
     blocked = judged.where(usable & F.col("agrees").isNotNull() & ~F.col("all_agree"))
     open_rows = judged.where(usable & F.col("agrees").isNull())
@@ -86,7 +89,7 @@ def automatic_plan(words: DataFrame, pages: DataFrame, annotations: DataFrame, o
     parts = ([toc_links] if options.toc_links else []) + ([url_links, back_links] if options.url_links else [])
     wanted = reduce(DataFrame.union, parts) if parts else toc_links.where("false")
     claims = links.greedy_claims(wanted.select("doc_id", F.col("source_page").alias("page_index"), F.col("__seq").alias("seq"), "rect"), held)
-    claimed = wanted.join(claims.select("doc_id", F.col("seq").alias("__seq"), "claimed"), ["doc_id", "__seq"])
+    claimed = cut(wanted.join(claims.select("doc_id", F.col("seq").alias("__seq"), "claimed"), ["doc_id", "__seq"]))
     planned = claimed.where("claimed").select(*LINK)
 
     row = ["doc_id", F.col("page_index").alias("source_page"), "line_no", "title", "printed_label"]
