@@ -31,7 +31,7 @@ def words_of(spark, d):
 #: The same words in SQL.
 WORDS_SQL = """doc_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
 toks AS (SELECT doc_id, line_no, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS k FROM doc_lines),
-words AS (SELECT doc_id // 10 AS doc_id, CAST(doc_id % 10 AS INTEGER) AS page_index, line_no, line_no * 1048576 + k AS word_seq, text, 6.0 * pos AS x0, 6.0 * (pos + length(text)) AS x1, 12.0 * line_no AS top, 12.0 * line_no + 10 AS bottom
+words AS (SELECT doc_id // 10 AS doc_id, CAST(doc_id % 10 AS INTEGER) AS page_index, line_no, line_no * 1048576 + k AS word_seq, text, CAST(6 * pos AS DOUBLE) AS x0, CAST(6 * (pos + length(text)) AS DOUBLE) AS x1, CAST(12 * line_no AS DOUBLE) AS top, CAST(12 * line_no + 10 AS DOUBLE) AS bottom
   FROM (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM toks) WHERE text <> '')"""
 _HEADINGS = sql_list(K.TOC_HEADINGS)
 LINES_SQL = f"""{WORDS_SQL},
