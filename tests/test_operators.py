@@ -175,4 +175,4 @@ def test_files(spark, tmp_path):
     assert found["a.pdf"]["has_signature"] and found["a.pdf"]["features"] == ["xfa"] and found["b.pdf"]["pdf_header"] == "%PDF-1.7" and not found["b.pdf"]["has_signature"]
     assert all(len(r["sha256"]) == 64 for r in relations.file_digests(spark, f"{tmp_path}/*.pdf").collect())
     named = relations.output_paths(spark.createDataFrame([("/x/book.pdf",)], "path string")).first()
-    assert named["output"] == "/x/interactive/book-interactive.pdf"
+    assert named["output"] == "/x/linked/book-linked.pdf"
