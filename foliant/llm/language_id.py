@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,23 +40,28 @@ def held_out(id_col: str) -> Column:
 
 
 class Model:
-    def __init__(self, langs: list[str], entries: list[tuple[str, int, str, int]]):
+    def __init__(self, langs: list[str], entries: Iterable[tuple[str, int, str, int]]):
         """entries: (lang, n-gram length or 0 for a word, text, count)."""
         self.langs = langs
         self.words: dict[str, int] = {}
         self.grams: dict[str, int] = {}
         index = {x: i for i, x in enumerate(langs)}
-        tables: dict[int, dict[str, np.ndarray]] = {}
+        places: dict[int, dict[str, int]] = {}
+        cells: dict[int, tuple[list[int], list[int], list[int]]] = {}
         for lang, n, text, count in entries:
-            tables.setdefault(n, {}).setdefault(text, np.zeros(len(langs)))[index[lang]] += count
-        rows = []
-        for n, table in sorted(tables.items()):
-            counts = np.array(list(table.values()))
-            logs = np.log(counts + SMOOTH) - np.log(counts.sum(0) + SMOOTH * (len(table) + 1))
-            for text in table:
-                (self.grams if n else self.words)[text] = len(self.words) + len(self.grams)
-            rows.append(logs)
-        self.logs = np.concatenate(rows).astype(np.float32) if rows else np.zeros((0, len(langs)), np.float32)
+            place = places.setdefault(n, {})
+            row, col, value = cells.setdefault(n, ([], [], []))
+            row.append(place.setdefault(text, len(place)))
+            col.append(index[lang])
+            value.append(count)
+        parts, size = [], 0
+        for n, place in sorted(places.items()):
+            counts = np.zeros((len(place), len(langs)))
+            np.add.at(counts, (cells[n][0], cells[n][1]), cells[n][2])
+            parts.append((np.log(counts + SMOOTH) - np.log(counts.sum(0) + SMOOTH * (len(place) + 1))).astype(np.float32))
+            (self.grams if n else self.words).update((text, size + i) for text, i in place.items())
+            size += len(place)
+        self.logs = np.concatenate(parts) if parts else np.zeros((0, len(langs)), np.float32)
 
     def _word_scores(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)), np.float32)
@@ -134,8 +139,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = drawn.mapInArrow(run, "lang string, n int, text string, count long").groupBy("lang", "n", "text").agg(F.sum("count").alias("count"))
     order = [F.desc("count"), "n", "text", "lang"]
     top = counts.where("n = 0").orderBy(*order).limit(max_words).union(counts.where("n > 0").orderBy(*order).limit(max_grams))
-    entries = sorted((r["lang"], r["n"], r["text"], r["count"]) for r in top.collect())
-    return Model(sorted(size), entries)
+    found = top.toArrow()  # columns, not rows: the driver holds the model only once
+    columns = [found.column(c).to_pylist() for c in ("lang", "n", "text", "count")]
+    order = sorted(range(found.num_rows), key=lambda i: (columns[0][i], columns[1][i], columns[2][i]))
+    return Model(sorted(size), ((columns[0][i], columns[1][i], columns[2][i], columns[3][i]) for i in order))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
