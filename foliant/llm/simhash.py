@@ -50,8 +50,8 @@ def ring_keys() -> list[tuple[int, int]]:
     return out
 
 
-def fingerprint_rows(texts: list[str | None], width: int = 3) -> np.ndarray:
-    """Fingerprints as unsigned 64-bit numbers."""
+def shingle_hashes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the runs of ``width`` words of all texts, their number in each text); a shorter text is one run."""
     digest = xxhash.xxh64_digest
     hashes: list[bytes] = []
     sizes = []
@@ -68,8 +68,12 @@ def fingerprint_rows(texts: list[str | None], width: int = 3) -> np.ndarray:
         a, b = (end - length)[: 1 - width].tolist(), end[width - 1 :].tolist()
         hashes += [digest(joined[i:j], 42) for i, j in zip(a, b, strict=True)]
         sizes.append(len(a))
-    sizes = np.array(sizes, np.int64)
-    flat = np.frombuffer(b"".join(hashes), ">u8").astype("<u8")
+    return np.frombuffer(b"".join(hashes), ">u8").astype("<u8"), np.array(sizes, np.int64)
+
+
+def fingerprint_rows(texts: list[str | None], width: int = 3) -> np.ndarray:
+    """Fingerprints as unsigned 64-bit numbers."""
+    flat, sizes = shingle_hashes(texts, width)
     row = np.repeat(np.arange(len(texts)), sizes)
     counts = np.zeros((len(texts), 64), np.int64)
     for at in range(0, len(flat), 1 << 16):
