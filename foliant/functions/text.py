@@ -76,10 +76,14 @@ def title_tokens(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda t: (F.length(t) > 2) & ~t.isin(*K.STOPWORDS))
 
 
-def title_match_score(title: Column, page: Column) -> Column:
-    """How well a normalised title fits a normalised page: 1 if it is part of it, else the share of its words there."""
-    tokens = title_tokens(title)
-    share = F.size(F.array_intersect(tokens, F.split(page, " "))) / F.size(F.array_distinct(tokens))
+def title_match_score(title: Column, page: Column, tokens: Column | None = None, words: Column | None = None) -> Column:
+    """How well a normalised title fits a normalised page: 1 if it is part of it, else the share of its words there.
+
+    ``tokens`` of the title and ``words`` of the page may be given where each meets many of the others.
+    """
+    tokens = title_tokens(title) if tokens is None else tokens
+    words = F.split(page, " ") if words is None else words
+    share = F.size(F.array_intersect(tokens, words)) / F.size(F.array_distinct(tokens))
     return F.when(F.length(title) < K.TITLE_CHARS, F.lit(0.0)).when(F.contains(page, title), F.lit(1.0)).when(F.size(tokens) < K.TITLE_TOKENS, F.lit(0.0)).otherwise(share)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant import constants as K
@@ -105,11 +105,14 @@ def q_title_tokens(spark, d):
 
 
 def titled(spark, d):
-    """Items and documents as titles and pages; they meet in tenths, by the last digit of their ids."""
+    """Every item as a title with every document as a page. A page is cut down to the words of titles before they meet."""
     title = text.normalize_text(F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
-    titles = table(spark, d, "benchmark").select("item_id", title.alias("title"), (F.col("item_id") % 10).alias("tenth"))
-    pages = table(spark, d, "documents").select(F.col("doc_id").alias("candidate"), text.normalize_text(F.col("text")).alias("page"), (F.col("doc_id") % 10).alias("tenth"))
-    return pages.join(titles, "tenth").withColumns({"score": text.title_match_score(F.col("title"), F.col("page")), "exact": F.contains("page", F.col("title"))}).drop("page")
+    titles = table(spark, d, "benchmark").select("item_id", title.alias("title")).withColumn("tokens", text.title_tokens(F.col("title")))
+    pages = table(spark, d, "documents").repartition("doc_id").select(F.col("doc_id").alias("candidate"), text.normalize_text(F.col("text")).alias("page"))
+    vocabulary = titles.agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("vocabulary"))
+    known = pages.crossJoin(vocabulary).select("candidate", "page", F.array_intersect("vocabulary", F.split("page", " ")).alias("words"))
+    score = text.title_match_score(F.col("title"), F.col("page"), F.col("tokens"), F.col("words"))
+    return known.crossJoin(titles).select("item_id", "candidate", score.alias("score"), F.contains("page", F.col("title")).alias("exact"))
 
 
 def q_title_match_score(spark, d):
@@ -121,7 +124,10 @@ def q_title_candidates(spark, d):
 
 
 def q_title_unique(spark, d):
-    return resolve.unique_title(titled(spark, d), ["item_id"]).select("item_id", "destination", F.round("score", 6).alias("score"))
+    # what decides are the two best of an item, whole titles first; the others needn't be sorted
+    best = Window.partitionBy("item_id").orderBy(F.desc("exact"), F.desc("score"), F.desc("candidate"))
+    two = titled(spark, d).withColumn("best", F.row_number().over(best)).where("best <= 2").drop("best")
+    return resolve.unique_title(two, ["item_id"]).select("item_id", "destination", F.round("score", 6).alias("score"))
 
 
 _STOP = sql_list(K.STOPWORDS)
