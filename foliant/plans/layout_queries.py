@@ -157,7 +157,7 @@ def q_offset_retention(spark, d):
 
 
 def q_page_sessions(spark, d):
-    rows = table(spark, d, "events").where("event_id % 97 < 3").select("event_type", F.col("event_id").alias("page"))
+    rows = table(spark, d, "events").select("event_type", F.col("event_id").alias("page"))
     return pagination.page_sessions(rows, ["event_type"], "page", 40).groupBy("event_type", "session").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("pages"))
 
 

@@ -1,5 +1,7 @@
 """Queries that must reach every row of their tables, against brute force in Python."""
 
+import random
+
 from foliant import constants as K
 from foliant.plans.catalog import QUERIES
 
@@ -36,3 +38,18 @@ def test_titles_meet_all_documents(spark, tmp_path):
         clear = mine[0][0] >= K.TITLE_SCORE and mine[0][0] - mine[1][0] >= K.TITLE_LEAD
         want.add((i, exact[0], 1.0) if len(exact) == 1 else (i, mine[0][1] if clear else None, round(mine[0][0], 6)))
     assert rows("title_unique") == want
+
+
+def test_sessions_hold_all_events(spark, tmp_path):
+    rnd = random.Random(4)
+    events = [(i, rnd.choice(["view", "buy", "rare"] if i % 400 < 100 else ["view"])) for i in range(2000) if not 500 <= i < 600]
+    spark.createDataFrame(events, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = []
+    for kind in sorted({k for _, k in events}):
+        for page in sorted(i for i, k in events if k == kind):
+            if want and want[-1][0] == kind and page - want[-1][3] <= 40:
+                want[-1][3:] = [page, want[-1][4] + 1]
+            else:
+                want.append([kind, want[-1][1] + 1 if want and want[-1][0] == kind else 0, page, page, 1])
+    got = sorted(list(r) for r in QUERIES["page_sessions"](spark, str(tmp_path)).collect())
+    assert got == want and sum(r[4] for r in got) == len(events)
