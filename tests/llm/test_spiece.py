@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import public_tokenizers
 import pytest
@@ -6,7 +7,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliant.llm.spiece import BPE, NORMAL, UNIGRAM, UNKNOWN, Encoder, Pieces, decode, decode_ids, encode_texts
+from foliant.llm.spiece import BPE, NORMAL, UNIGRAM, UNKNOWN, USER, Encoder, Pieces, decode, decode_ids, encode_texts
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 HARD = ["", " ", "  x", "a  b   c      d", "$$$$$ ###", "\n\n\t x", "héé 𝒳 日本語", "{\r\n}\r\n;\r", "word " * 500, "=" * 500, "aaaaaaaaaaaaaaaaaaaaaaaa", "internationalization's 1234567"]
@@ -73,6 +74,84 @@ def test_pair_rule_follows_the_merges():
             assert [p.text[i] for i in e.segment([word])[word]] == p.merged(word)
 
 
+def walked(encoder, words):
+    """The pieces of distinct words as the walk in numpy finds them."""
+    words = sorted(words)
+    ids, sizes = encoder.pieces_of(words)
+    at = [0, *itertools.accumulate(sizes.tolist())]
+    return {w: tuple(ids[a:b].tolist()) for w, a, b in zip(words, at, at[1:], strict=False)}
+
+
+def test_walk_follows_the_merges():
+    letters = [(c, -100.0 - i, NORMAL) for i, c in enumerate("ab▁")]
+    words = ["".join(w) for n in range(1, 8) for w in itertools.product("ab", repeat=n)]
+    for order in itertools.permutations(["ab", "ba", "aa", "aab", "abab", "bab"], 5):
+        p = Pieces([*letters, *[(x, -float(i), NORMAL) for i, x in enumerate(order)]], BPE, False, False)
+        got = walked(Encoder(p), words)
+        assert all([p.text[i] for i in got[w]] == p.merged(w) for w in words)
+
+
+def test_walk_with_equal_scores_and_letters_without_pieces():
+    rnd = random.Random(3)
+    words = ["".join(w) for n in range(1, 7) for w in itertools.product("abx", repeat=n)]
+    for _ in range(40):
+        parts = rnd.sample(["ab", "ba", "aa", "bb", "aab", "abab", "bab", "bba", "aabb", "xa", "bx", "abx"], 8)
+        p = Pieces([("<unk>", 0.0, UNKNOWN), ("a", -9.0, NORMAL), ("b", -9.0, NORMAL), *[(x, -float(rnd.randint(1, 4)), NORMAL) for x in parts]], BPE, False, False)
+        e = Encoder(p)
+        assert walked(e, words) == e.segment(words)
+        merges = {w: p.merged(w) for w in words}
+        assert all(got == e._ids(merges[w]) for w, got in walked(Encoder(p), words).items())
+
+
+def test_walk_and_single_steps_agree(pieces, monkeypatch):
+    rnd = random.Random(4)
+    words = {"▁" + "".join(rnd.choice("etaoinshrdlucé𝒳日'=-.") for _ in range(rnd.randint(1, 60))) for _ in range(3_000)}
+    monkeypatch.setattr("foliant.llm.spiece.RUN", 100)  # many runs
+    e = Encoder(pieces)
+    assert walked(e, words) == Encoder(pieces).segment(list(words))
+
+
+def test_unigram_walk_takes_the_best_path():
+    rnd = random.Random(5)
+    letters = [(c, -rnd.uniform(3, 6), NORMAL) for c in "abc"]
+    parts = [("".join(w), -rnd.uniform(1, 9), NORMAL) for n in (2, 3, 4) for w in itertools.product("abc", repeat=n) if rnd.random() < 0.4]
+    p = Pieces([("<unk>", 0.0, UNKNOWN), *letters, *parts], UNIGRAM, False, False)
+    score = {t: s for t, s, _ in letters + parts}
+
+    def best(word):
+        sums = [0.0]
+        for end in range(1, len(word) + 1):
+            sums.append(max(sums[at] + score[word[at:end]] for at in range(end) if word[at:end] in score))
+        return sums[-1]
+
+    words = ["".join(w) for n in range(1, 8) for w in itertools.product("abc", repeat=n)]
+    for w, got in walked(Encoder(p), words).items():
+        assert "".join(p.text[i] for i in got) == w
+        assert abs(sum(p.score[i] for i in got) - best(w)) < 1e-9
+
+
+def test_the_older_half_of_the_words_goes(pieces, library, monkeypatch):
+    monkeypatch.setattr("foliant.llm.spiece.REMEMBERED", 50)
+    e = Encoder(pieces)
+    for k in range(6):
+        texts = [f"word {i} of {k} rows" for i in range(40)]
+        assert encoded(e, texts) == library.encode(texts)
+    assert len(e.known) < 100 and len(e.known) == len(e.sizes)
+
+
+def test_pieces_of_the_user_are_refused():
+    with pytest.raises(ValueError):
+        Pieces([("ab", 0.0, USER)], BPE, False, False)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([("x", "some text", 1, 2)], "doc_id string, text string, ids int, n_pieces int")
+    row = encode_texts(docs, PATH).first()
+    assert row["n_pieces"] == len(row["ids"]) and row["doc_id"] == "x"
+    named = docs.select(docs["doc_id"].alias("ids"), "text")
+    assert encode_texts(named.withColumnRenamed("ids", "id"), PATH, id_col="id").first()["id"] == "x"
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (1, ""), (None, "a▁b"), (2, "long" * 30_000)], "doc_id long, text string")
     rows = encode_texts(docs, PATH)
