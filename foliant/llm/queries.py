@@ -121,19 +121,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL. A-Z are lower-cased by translate(), which leaves other letters alone.
 LINE_DEDUP_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, u.i AS i, u.line AS line,
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+lines AS (
+  SELECT r, doc_id, u.i AS i, u.line AS line,
          translate(regexp_replace(u.line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
-  FROM (SELECT doc_id, unnest(list_zip(string_split(coalesce(text, ''), chr(10)),
-                                       range(len(string_split(coalesce(text, ''), chr(10)))))) AS z FROM documents),
+  FROM (SELECT r, doc_id, unnest(list_zip(string_split(text, chr(10)),
+                                          range(len(string_split(text, chr(10)))))) AS z FROM docs),
        LATERAL (SELECT z[1] AS line, z[2] AS i) u),
 common AS (SELECT line_key FROM lines WHERE length(line_key) >= 1
-           GROUP BY line_key HAVING count(DISTINCT doc_id) >= 10)
+           GROUP BY line_key
+           HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN r END) >= 10)
 SELECT l.doc_id, count(*) AS n_lines, count(c.line_key) AS n_dropped,
        sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE c.line_key IS NULL), '')) AS kept_sha256
 FROM lines l LEFT JOIN common c ON l.line_key = c.line_key
-GROUP BY l.doc_id
+GROUP BY l.r, l.doc_id
 """
 
 EGO_JOIN_SQL = """
