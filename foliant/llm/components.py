@@ -1,7 +1,9 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Every round is two aggregations and two equi-joins; links never leave the
-executors. Each round is cut to the shared folder, so its lineage stays short.
+executors. The links of a node with very many neighbours aren't gathered in one
+task: a bounded number of such hubs is sent to where their links lie. Each round
+is cut to the shared folder, so its lineage stays short.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import cut, join_hot
 
 
 class Forest:
@@ -45,10 +47,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(edges)
     while mark[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        moved = star.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        held = join_hot(both, low, "u", 2 * mark[0]).where("v > u")
+        star = held.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = join_hot(star, low, "u", 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
         before, mark = mark, _mark(edges)
         if mark == before:

@@ -40,57 +40,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import slices
+from foliant.llm.common import FREE, Table, scattered, slices, spans
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words whose pieces a worker remembers; beyond it the older half goes. Bits of its memory of pairs.
-REMEMBERED, PAIRS = 400_000, 20
+REMEMBERED, PAIRS = 150_000, 20
 #: Words of a run of the depth-first order; characters from which on a word is walked by itself.
 RUN, LONG = 1 << 14, 48
-FREE = np.uint64((1 << 64) - 1)
-
-
-class Table:
-    """Numbers by 64-bit keys, many looked up at a time: open addressing, a quarter full at most."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (4 * len(keys)).bit_length())
-        self.key = np.full(1 << self.bits, FREE, np.uint64)
-        self.value = np.full(1 << self.bits, -1, np.int32)
-        left = np.arange(len(keys))
-        slot = scattered(keys, self.bits)
-        while len(left):
-            first = np.zeros(len(left), bool)
-            first[np.unique(slot, return_index=True)[1]] = True
-            put = first & (self.key[slot] == FREE)
-            self.key[slot[put]], self.value[slot[put]] = keys[left[put]], values[left[put]]
-            left, slot = left[~put], (slot[~put] + 1) & ((1 << self.bits) - 1)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The numbers; -1 for keys that aren't there."""
-        slot = scattered(keys, self.bits)
-        held = self.key[slot]
-        out = np.where(held == keys, self.value[slot], -1)
-        at = np.flatnonzero((held != keys) & (held != FREE))
-        while len(at):
-            slot[at] = (slot[at] + 1) & ((1 << self.bits) - 1)
-            held = self.key[slot[at]]
-            found = held == keys[at]
-            out[at[found]] = self.value[slot[at[found]]]
-            at = at[~found & (held != FREE)]
-        return out
-
-
-def scattered(keys: np.ndarray, bits: int) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places of stretches one after another."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
