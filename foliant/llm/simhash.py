@@ -10,8 +10,14 @@ so it holds at most 2^19 of them however large the corpus is.
 
 Equal fingerprints are one class from the start, so copies are never paired.
 Buckets give the links of a spanning forest, not all pairs; no link is lost to
-the components. Null text has no words and fingerprint zero, as has empty text.
-A null id takes part but can't name a component. Other columns are ignored.
+the components.
+
+Defined cases: null text has no words and fingerprint zero, as has empty text; a
+very long text is read whole, a slice of its hashes at a time. Documents are
+linked by their fingerprints alone: rows that share an id are judged each, and a
+row without id links others but can't name a component (a component without any
+id has none). An empty table gives an empty one. Columns other than id and text
+are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, slices
+from foliant.llm.common import cut, join_hot, slices
 from foliant.llm.components import Forest, components
 
 SEGMENTS, DISTANCE = 7, 2
@@ -71,11 +77,10 @@ def shingle_hashes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.
     return np.frombuffer(b"".join(hashes), ">u8").astype("<u8"), np.array(sizes, np.int64)
 
 
-def fingerprint_rows(texts: list[str | None], width: int = 3) -> np.ndarray:
-    """Fingerprints as unsigned 64-bit numbers."""
-    flat, sizes = shingle_hashes(texts, width)
-    row = np.repeat(np.arange(len(texts)), sizes)
-    counts = np.zeros((len(texts), 64), np.int64)
+def print_hashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints as unsigned 64-bit numbers, of hashes as ``shingle_hashes`` gives them."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.zeros((len(sizes), 64), np.int64)
     for at in range(0, len(flat), 1 << 16):
         piece, owner = flat[at : at + (1 << 16)], row[at : at + (1 << 16)]
         bits = np.unpackbits(piece.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -84,6 +89,10 @@ def fingerprint_rows(texts: list[str | None], width: int = 3) -> np.ndarray:
     return np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
+def fingerprint_rows(texts: list[str | None], width: int = 3) -> np.ndarray:
+    return print_hashes(*shingle_hashes(texts, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3) -> DataFrame:
     """(id, fp): the fingerprint of each row as a long."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -129,20 +138,20 @@ def link_runs(start: np.ndarray, fp: np.ndarray, loose: np.ndarray) -> np.ndarra
 
 
 def forest_links(classes: DataFrame) -> DataFrame:
-    """``classes`` (fp distinct, rep) -> links (u, v) between reps that join all classes within two bits."""
+    """``classes`` (fp, distinct) -> links (u, v) between fingerprints that join all within two bits."""
     keys = ring_keys()
     signed = [m - (1 << 64) if m >> 63 else m for m, _ in keys]
-    spread = classes.select("fp", "rep", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("ring", "mask"))
-    spread = spread.select("ring", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp", "rep")
+    spread = classes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("ring", "mask"))
+    spread = spread.select("ring", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
     dealt = spread.repartition("ring", "part").sortWithinPartitions("ring", "part")
     spared = np.array([x for _, x in keys], np.uint64)
 
-    def links(ring, fp, part, rep) -> pa.RecordBatch:
+    def links(ring, fp, part) -> pa.RecordBatch:
         new = np.r_[True, (ring[1:] != ring[:-1]) | (part[1:] != part[:-1])]
         start = np.maximum.accumulate(np.where(new, np.arange(len(ring)), 0))
         label = link_runs(start, fp.view(np.uint64), spared[ring])
         at = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([rep.take(pa.array(at)), rep.take(pa.array(label[at]))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[label[at]])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -154,18 +163,20 @@ def forest_links(classes: DataFrame) -> DataFrame:
             done = len(ring) - int(same.sum())  # the last run may go on in the next batch
             held = rows.slice(done)
             if done:
-                yield links(ring[:done], rows.column("fp").to_numpy()[:done], part[:done], rows.column("rep").slice(0, done).combine_chunks())
+                yield links(ring[:done], rows.column("fp").to_numpy()[:done], part[:done])
         if held is not None and held.num_rows:
-            yield links(*(held.column(c).to_numpy() for c in ("ring", "fp", "part")), held.column("rep").combine_chunks())
+            yield links(*(held.column(c).to_numpy() for c in ("ring", "fp", "part")))
 
-    kind = classes.schema["rep"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"u {kind}, v {kind}")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id (smallest id reachable, itself included)."""
     prints = cut(fingerprints(docs, id_col, text_col, width))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    joined = components(forest_links(classes.where("rep is not null"))).withColumnRenamed("id", "rep")
-    named = classes.join(joined, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
+    joined = cut(components(forest_links(classes.select("fp"))).withColumnRenamed("id", "fp"))
+    # few fingerprints are linked to others; the rest name themselves
+    first = classes.join(joined, "fp").groupBy("component").agg(F.min("least").alias("first"))
+    named = joined.join(first, "component").select("fp", "first", F.lit(True).alias("linked"))
+    found = classes.join(named, "fp", "left").select("fp", "n", F.when(F.col("linked"), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    return join_hot(prints, found, "fp", prints.count()).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

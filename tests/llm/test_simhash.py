@@ -76,8 +76,31 @@ def test_ring_keys_find_every_pair_once():
 
 
 def links(spark, fps):
-    classes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)], "fp long, rep long")
-    return {r["id"]: r["component"] for r in components(forest_links(classes)).collect()}
+    number = {int(np.uint64(f).view(np.int64)): i for i, f in enumerate(fps)}
+    classes = spark.createDataFrame([(f,) for f in number], "fp long")
+    rows = components(forest_links(classes)).collect()
+    first = {}
+    for r in rows:
+        first[r["component"]] = min(first.get(r["component"], len(fps)), number[r["id"]])
+    return {number[r["id"]]: first[r["component"]] for r in rows}
+
+
+def test_rows_without_id_link_others(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    rows = [(1, 0), (None, 3), (2, 15), (5, 1 << 40), (5, 255), (6, 255 << 8), (None, 1 << 60 | 1 << 59 | 1 << 58 | 7)]
+    docs = spark.createDataFrame(rows, "id long, fp long")
+    got = sorted(((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in near_duplicates(docs).collect()), key=repr)
+    want = [(1, 0, 1), (None, 3, 1), (2, 15, 1), (5, 1 << 40, 1), (5, 255, 5), (6, 255 << 8, 6), (None, rows[-1][1], None)]
+    assert got == sorted(want, key=repr)
+
+
+def test_hubs_are_sent(spark, monkeypatch):
+    monkeypatch.setattr("foliant.llm.common.HOT", 3)
+    rnd = random.Random(8)
+    edges = [(0, i) for i in range(1, 200)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(150)] + [(500, i) for i in range(395, 420)]
+    want = {i: c for i, c in groups(range(501), edges).items()}
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: want[i] for i in got} and {i for e in edges for i in e if e[0] != e[1]} == set(got)
 
 
 def test_dense_buckets(spark, monkeypatch):
