@@ -5,31 +5,36 @@ words (``^word$``) of five to one characters. A known word adds its own log
 frequencies; an unseen word adds the mean of its longest known n-grams.
 
 Fitting uses at most about ``docs_per_lang`` labelled documents of a language
-(a documented bound, drawn by a hash of the id) and keeps the ``max_words`` and
-``max_grams`` most frequent entries, so the model that is sent to the executors
-has a fixed size bound. Every document is scored whole, without any exchange.
+(a documented bound, drawn by a hash of the id) and keeps every word and n-gram
+that occurs ``least_count`` times or more in them, so the model that is sent to
+the executors doesn't grow with the corpus. Every document is scored whole,
+without any exchange.
 
 The score is the posterior of the best language with the evidence of at most
 ``EVIDENCE`` average words, so that a text in two languages doesn't reach 1.
-Null text and text without a letter give ``und`` and 0. With nothing to learn
-from, all texts do. Repeated rows are scored each; other columns are ignored.
+
+A letter is a character of Unicode's categories L; marks belong to the letter
+before them. Defined cases: null text and text without a letter give ``und`` and
+0; with nothing to learn from, all texts do. Of languages of equal score the
+first by name is taken. Rows are scored each, also repeated ones; an empty table
+gives an empty one. Other columns are ignored, or carried along where asked for.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import slices
+from foliant.llm.common import Table, cut, slices, spans
 
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST, EVIDENCE, SMOOTH = 5, 20, 0.5
 UNKNOWN = "und"
 
@@ -62,16 +67,60 @@ class Model:
             (self.grams if n else self.words).update((text, size + i) for text, i in place.items())
             size += len(place)
         self.logs = np.concatenate(parts) if parts else np.zeros((0, len(langs)), np.float32)
+        self.packed: tuple | None = ()  # made where it is used
+
+    def _packed(self) -> tuple[dict[int, int], int, list[Table]] | None:
+        """(numbers of the n-grams' characters, bits of a number, n-grams of each length); None if five numbers don't fit into 62 bits."""
+        letters = {ord(c): i for i, c in enumerate(sorted({c for g in self.grams for c in g}), 1)}
+        bits = max(1, len(letters).bit_length())
+        if bits * LONGEST > 62:
+            return None
+        keys: list[list[int]] = [[] for _ in range(LONGEST + 1)]
+        rows: list[list[int]] = [[] for _ in range(LONGEST + 1)]
+        for g, row in self.grams.items():
+            key = 0
+            for c in g:
+                key = key << bits | letters[ord(c)]
+            keys[len(g)].append(key)
+            rows[len(g)].append(row)
+        return letters, bits, [Table(np.array(k, np.uint64), np.array(r, np.int32)) for k, r in zip(keys, rows, strict=True)]
+
+    def _guess(self, words: list[str]) -> np.ndarray:
+        """The scores of words that the model doesn't hold: the mean of their longest known n-grams."""
+        if self.packed == ():
+            self.packed = self._packed()
+        if self.packed is None or not words:
+            return self._guess_each(words)
+        letters, bits, tables = self.packed
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        code = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, where = np.unique(code, return_inverse=True)
+        number = np.array([letters.get(c, 0) for c in kinds.tolist()], np.uint64)[where]  # 0 is in no n-gram
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        end = np.cumsum(size)
+        left = np.arange(len(words))
+        for n in range(LONGEST, 0, -1):
+            count = np.maximum(0, size[left] - n + 1)
+            place = spans((end - size)[left], count)
+            key = number[place]
+            for k in range(1, n):
+                key = key << np.uint64(bits) | number[place + k]
+            row = tables[n].get(key)
+            of = np.repeat(np.arange(len(left)), count)[row >= 0]
+            row = row[row >= 0]
+            if len(of):
+                some, starts, many = np.unique(of, return_index=True, return_counts=True)
+                out[left[some]] = np.add.reduceat(self.logs[row], starts, axis=0) / many[:, None]
+                left = np.delete(left, some)
+        return out
 
-    def _word_scores(self, words: list[str]) -> np.ndarray:
+    def _guess_each(self, words: list[str]) -> np.ndarray:
+        """``_guess`` word by word, for alphabets of any size."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        get = self.words.get
-        known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        out[known >= 0] = self.logs[known[known >= 0]]
         ids, sizes, rows = [], [], []
         grams = self.grams
-        for row in np.flatnonzero(known < 0).tolist():
-            marked = f"^{words[row]}$"
+        for row, word in enumerate(words):
+            marked = f"^{word}$"
             for n in range(LONGEST, 0, -1):
                 found = [g for i in range(len(marked) - n + 1) if (g := grams.get(marked[i : i + n])) is not None]
                 if found:
@@ -84,6 +133,14 @@ class Model:
             out[rows] = np.add.reduceat(self.logs[ids], np.cumsum(size) - size, axis=0) / size[:, None]
         return out
 
+    def _word_scores(self, words: list[str]) -> np.ndarray:
+        known = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        out = np.empty((len(words), len(self.langs)), np.float32)
+        out[known >= 0] = self.logs[known[known >= 0]]
+        unseen = np.flatnonzero(known < 0)
+        out[unseen] = self._guess([words[i] for i in unseen.tolist()])
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         words: list[str] = []
         ends = [0]
@@ -95,10 +152,11 @@ class Model:
         score, langs = np.zeros(len(texts)), [UNKNOWN] * len(texts)
         if not words or not self.langs:
             return langs, score
-        index = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        each = self._word_scores(list(index))
+        held = pa.array(words, pa.string()).dictionary_encode()
+        del words
+        each = self._word_scores(held.dictionary.to_pylist()).astype(np.float64)
         some = np.flatnonzero(size)
-        total = np.add.reduceat(each[np.fromiter(map(index.__getitem__, words), np.int64, len(words))].astype(np.float64), np.array(ends)[some], axis=0)
+        total = np.add.reduceat(each[held.indices.to_numpy()], np.array(ends)[some], axis=0)
         total *= np.minimum(1, EVIDENCE / size[some])[:, None]
         total -= total.max(1, keepdims=True)
         p = np.exp(total)
@@ -109,37 +167,49 @@ class Model:
         return langs, score
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 2_000, max_words: int = 100_000, max_grams: int = 100_000) -> Model:
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not size:
-        return Model([], [])
-    share = F.create_map(*[F.lit(x) for lang, n in size.items() for x in (lang, int(min(1.0, docs_per_lang / n) * (1 << 30)))])
-    drawn = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30)) < share[F.col("lang")])
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """(lang, text, count): how often each word occurs in the texts of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[tuple[str, str]] = Counter()
+        words: dict[str, Counter[str]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
-                    words.update((lang, w) for w in WORDS.findall(text.lower()))
-        grams: Counter[tuple[str, int, str]] = Counter()
-        for (lang, w), k in words.items():
-            marked = f"^{w}$"
-            for n in range(1, LONGEST + 1):
-                for i in range(len(marked) - n + 1):
-                    grams[lang, n, marked[i : i + n]] += k
-        for (lang, w), k in words.items():
-            grams[lang, 0, w] = k
-        at = list(grams)
-        for i in range(0, len(at), 50_000):
-            some = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some]), pa.array([x[1] for x in some], pa.int32()), pa.array([x[2] for x in some]), pa.array([grams[x] for x in some], pa.int64())], names=["lang", "n", "text", "count"])
-
-    counts = drawn.mapInArrow(run, "lang string, n int, text string, count long").groupBy("lang", "n", "text").agg(F.sum("count").alias("count"))
-    order = [F.desc("count"), "n", "text", "lang"]
-    top = counts.where("n = 0").orderBy(*order).limit(max_words).union(counts.where("n > 0").orderBy(*order).limit(max_grams))
-    found = top.toArrow()  # columns, not rows: the driver holds the model only once
+                    words.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
+        for lang, count in words.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count)), pa.array(list(count)), pa.array(list(count.values()), pa.int64())], names=["lang", "text", "count"])
+
+    return rows.mapInArrow(run, "lang string, text string, count long").groupBy("lang", "text").agg(F.sum("count").alias("count"))
+
+
+def _gram_counts(words: DataFrame) -> DataFrame:
+    """(lang, n, text, count): how often each n-gram of the marked words occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: dict[tuple[str, int], Counter[str]] = {}
+        for batch in batches:
+            for lang, w, k in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "count")), strict=True):
+                marked = f"^{w}$"
+                for n in range(1, LONGEST + 1):
+                    count = grams.setdefault((lang, n), Counter())
+                    for i in range(len(marked) - n + 1):
+                        count[marked[i : i + n]] += k
+        for (lang, n), count in grams.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count)), pa.array([n] * len(count), pa.int32()), pa.array(list(count)), pa.array(list(count.values()), pa.int64())], names=["lang", "n", "text", "count"])
+
+    return words.mapInArrow(run, "lang string, n int, text string, count long").groupBy("lang", "n", "text").agg(F.sum("count").alias("count"))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 500, least_count: int = 2) -> Model:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out("id") & F.col("lang").isNotNull())
+    size = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not size:
+        return Model([], [])
+    share = F.create_map(*[F.lit(x) for lang, n in size.items() for x in (lang, int(min(1.0, docs_per_lang / n) * (1 << 30)))])
+    drawn = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("language")), F.lit(1 << 30)) < share[F.col("lang")]).where("text is not null")
+    words = cut(_word_counts(drawn))
+    counts = words.select("lang", F.lit(0).alias("n"), "text", "count").union(_gram_counts(words)).where(F.col("count") >= least_count)
+    found = counts.toArrow()  # columns, not rows: the driver holds the model only once
     columns = [found.column(c).to_pylist() for c in ("lang", "n", "text", "count")]
     order = sorted(range(found.num_rows), key=lambda i: (columns[0][i], columns[1][i], columns[2][i]))
     return Model(sorted(size), ((columns[0][i], columns[1][i], columns[2][i], columns[3][i]) for i in order))

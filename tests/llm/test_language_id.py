@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from foliant.llm.language_id import UNKNOWN, Model, fit, held_out, identify
+from foliant.llm.language_id import UNKNOWN, WORDS, Model, fit, held_out, identify
 
 SMALL = "/root/testdata/sf0.01/documents.parquet"
 
@@ -45,3 +46,33 @@ def test_carry_nulls_repeats_and_empty(spark):
     none = docs.where("false")
     assert identify(none, fit(none)).count() == 0
     assert {r["lang_pred"] for r in identify(docs, fit(none)).collect()} == {UNKNOWN}
+
+
+def test_what_a_letter_is():
+    model = Model(["p", "q"], [("p", 0, "word", 50), ("q", 0, "other", 50), ("p", 1, "a", 1)])
+    langs, score = model.predict(["²", "½ ¼", "1²3 _ !", "ⅷ Ⅻ", "é", "́", "नमस्ते"])
+    assert langs[:4] == [UNKNOWN] * 4 and (score[:4] == 0).all()
+    assert langs[4] in model.langs and langs[5] == UNKNOWN and langs[6] in model.langs
+    assert WORDS.findall("नमस्ते cafés x²y") == ["नमस्ते", "cafés", "x", "y"]
+
+
+def test_packed_grams_and_single_words_agree():
+    rnd = random.Random(2)
+    grams = {"".join(rnd.choice("^abcdé$") for _ in range(n)) for n in (1, 1, 2, 3, 4, 5) for _ in range(30)}
+    model = Model(["p", "q"], [(x, len(g), g, rnd.randint(1, 9)) for g in sorted(grams) for x in "pq"])
+    words = ["", "x", "日本", "a", *{"".join(rnd.choice("abcdéz") for _ in range(rnd.randint(1, 9))) for _ in range(500)}]
+    assert np.allclose(model._guess(words), model._guess_each(words), atol=1e-5)
+    wide = Model(["p"], [("p", 2, chr(0x4E00 + i) + chr(0x5000 + i), 2) for i in range(5_000)])
+    assert wide._packed() is None and wide.predict(["一倀"])[0] == ["p"]
+    assert Model(["p"], [])._guess(["abc"]).tolist() == [[0.0]]
+
+
+def test_ties():
+    model = Model(["p", "q"], [("p", 0, "same", 5), ("q", 0, "same", 5), ("p", 2, "ab", 9), ("q", 2, "cd", 9)])
+    assert model.predict(["same", "zzz"])[0] == ["p", "p"]
+
+
+def test_model_counts_all_words_of_the_sample(spark):
+    docs = spark.createDataFrame([(i, "uno dos" if i % 2 else "one two one", "es" if i % 2 else "en") for i in range(90)], "doc_id long, text string, lang string").repartition(7)
+    model = fit(docs, least_count=1)
+    assert set(model.words) == {"uno", "dos", "one", "two"} and {"^on", "one$", "^o", "o"} <= set(model.grams)
