@@ -80,7 +80,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents arrive as one append of small shards and are compacted; each then tells the shard that holds it."""
+    """The documents arrive as one append of small shards and are compacted; each is then read from the shard that holds it."""
     import uuid
 
     from foliant.llm.common import shared_dir
@@ -90,7 +90,8 @@ def op8_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append(table(spark, sf_dir, "documents"))
     store.compact()
     store.vacuum(keep=1)
-    return store.read().select("doc_id", "shard", "shard_rows", "version", F.sha2("text", 256).alias("text_sha256"))
+    in_shard = (F.col("shard") >= 0) & (F.col("shard_rows") > 0) & (F.col("version") > 0)
+    return store.read().select("doc_id", in_shard.alias("in_shard"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,19 +140,21 @@ GROUP BY l.r, l.doc_id
 """
 
 EGO_JOIN_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+WITH RECURSIVE rows AS (SELECT *, row_number() OVER () AS r FROM embeddings),
+v AS (
+  SELECT r, label, CAST(embedding AS DOUBLE[]) AS e FROM rows
   WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
-          ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+links AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b
+          ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
           AND list_cosine_similarity(a.e, b.e) >= 0.98),
-reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT reach.a, min(rows.vec_id) AS low FROM reach JOIN rows ON rows.r = reach.b GROUP BY reach.a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id,
-       e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept
-FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
-LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) c ON c.a = e.vec_id
+       coalesce(e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)), true) AS kept
+FROM rows e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.r
+LEFT JOIN low c ON c.a = e.r
 """
 
 URL_LISTS_SQL = r"""
@@ -191,4 +194,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_ego_join": EGO_JOIN_SQL,
     "op3_line_dedup": LINE_DEDUP_SQL,
     "op4_url_lists": URL_LISTS_SQL,
+    "op8_compaction": "SELECT doc_id, true AS in_shard, sha256(text) AS text_sha256 FROM documents",
 }

@@ -61,5 +61,46 @@ def test_empty(spark, tmp_path):
 
 def test_plan_keeps_tiers_apart(spark, tmp_path):
     store = ShardStore(spark, str(tmp_path), target_bytes=100, fan_in=3, smallest=4)
-    shards = [{"path": f"{i}", "bytes": n, "rows": 1} for i, n in enumerate([2, 3, 3, 30, 30, 90, 48, 35])]
+    shards = [{"path": f"{i}", "bytes": n, "rows": 1} for i, n in enumerate([2, 3, 3, 30, 30, 90, 48, 35, 75, 201])]
     assert [[s["bytes"] for s in g] for g in store.plan(shards)] == [[2, 3, 3], [30, 30, 35]]
+    shards = [{"path": f"{i}", "bytes": n, "rows": 9} for i, n in enumerate([60, 70, 74, 74, 201, 200])]
+    assert [[s["bytes"] for s in g] for g in store.plan(shards)] == [[201], [60, 70], [74, 74]]
+
+
+def test_large_arrivals_are_split(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path), target_bytes=20_000, fan_in=2, smallest=1_000)
+    docs = spark.range(4_000).selectExpr("id as doc_id", "sha2(string(id), 512) as text")
+    store.append(docs.coalesce(1))
+    store.append(docs.where("doc_id < 0"))
+    before = store.manifest()["shards"]
+    store.compact()
+    after = store.manifest()["shards"]
+    assert len(before) <= 2 and len(after) > 10 and max(s["bytes"] for s in after) <= 2 * 20_000
+    assert rows_of(store.read().select("doc_id", "text")) == rows_of(docs)
+
+
+def test_parts_of_the_manifest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("foliant.llm.compaction.PART", 3)
+    monkeypatch.setattr("foliant.llm.compaction.SENT", 2)
+    monkeypatch.setattr("foliant.llm.compaction.WAVE", 1)
+    store = ShardStore(spark, str(tmp_path), target_bytes=50_000, fan_in=4, smallest=100_000)
+    docs = spark.range(800).selectExpr("id as doc_id", "sha2(string(id), 256) as text")
+    for k in range(2):
+        store.append(docs.where(f"doc_id % 2 = {k}").repartition(7))
+    first, second = store.manifest(1), store.manifest(2)
+    assert len(first["parts"]) == 3 and set(first["parts"]) < set(second["parts"]) and len(second["shards"]) == 14
+    assert rows_of(store.read().select("doc_id", "text")) == rows_of(docs)
+    assert sorted(r["shard"] for r in store.read().select("shard").distinct().collect()) == list(range(14))
+    store.compact()
+    assert rows_of(store.read().select("doc_id", "text")) == rows_of(docs) and rows_of(store.read(2).select("doc_id", "text")) == rows_of(docs)
+    store.vacuum(keep=1)
+    assert len([f for f in (tmp_path / "manifests").iterdir() if f.name.startswith("part-")]) == len(store.manifest()["parts"])
+    assert rows_of(store.read().select("doc_id", "text")) == rows_of(docs)
+
+
+def test_query_returns_every_document(spark):
+    from foliant.llm.queries import op8_compaction
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("doc_id", "true", "sha2(text, 256)")
+    assert sorted(map(tuple, op8_compaction(spark, folder).collect())) == sorted(map(tuple, docs.collect()))
