@@ -49,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         held = join_hot(both, low, "u", 2 * mark[0]).where("v > u")
-        star = held.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        star = cut(held.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         moved = join_hot(star, low, "u", 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
