@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant import constants as K
-from foliant.functions.text import normalize_text, title_match_score
+from foliant.functions.text import normalize_text, title_match_score, title_tokens
+from foliant.plans.materialize import cut
 
 ROW = ["doc_id", "page_index", "line_no"]
 
@@ -32,12 +33,44 @@ def segment_candidates(rows: DataFrame, segments: DataFrame, page_counts: DataFr
     return found.where((F.col("destination") >= 0) & (F.col("destination") < F.col("page_count"))).drop("page_count")
 
 
+def titles_on_pages(titles: DataFrame, pages: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """(key, candidate, score, exact): how well normalised titles (key, by, plain) fit normalised pages (by, candidate, normalized_text).
+
+    Titles and pages meet on ``by`` and on a word, so pairs without a common word are
+    never formed; they'd score 0 and are left out. A page that holds a title holds the
+    words inside it whole (its first and last may be parts of longer ones), so only
+    pages that hold all of them are searched. Titles of one or two words have no such
+    words: a page is searched for all of those of its ``by`` in place.
+    """
+    words = F.split("plain", " ")
+    tokens = title_tokens(F.col("plain"))
+    inner = F.array_distinct(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))))
+    scored = (F.length("plain") >= K.TITLE_CHARS) & (F.size(tokens) >= K.TITLE_TOKENS)
+    known = cut(titles.select(*key, *by, "plain", F.array_distinct(tokens).alias("tokens"), scored.alias("scored"), inner.alias("inner")))
+    each = known.select(*key, *by, "scored", F.size("tokens").alias("n_tokens"), F.size("inner").alias("n_inner"), "tokens", "inner", F.explode(F.array_union(F.when(F.col("scored"), F.col("tokens")).otherwise(F.array().cast("array<string>")), F.col("inner"))).alias("word"))
+    each = each.select(*key, *by, "word", "n_tokens", "n_inner", (F.col("scored") & F.array_contains("tokens", F.col("word"))).alias("token"), F.array_contains("inner", F.col("word")).alias("within"))
+    on_page = pages.select(*by, "candidate", F.explode(F.array_distinct(F.split("normalized_text", " "))).alias("word"))
+    vocabulary = each.select(*by, "word").distinct()
+    met = on_page.join(vocabulary, [*by, "word"], "left_semi").join(each, [*by, "word"])
+    shared = cut(met.groupBy(*key, *by, "candidate").agg(F.count_if("token").alias("hits"), F.count_if("within").alias("found"), F.first("n_tokens").alias("n_tokens"), F.first("n_inner").alias("n_inner")))
+    whole = shared.where("found = n_inner and n_inner > 0").join(known.select(*key, *by, "plain"), [*key, *by]).join(pages.select(*by, "candidate", "normalized_text"), [*by, "candidate"])
+    whole = whole.where(F.contains("normalized_text", F.col("plain"))).select(*key, *by, "candidate")
+    short = known.where(F.size("inner") == 0).groupBy(*by).agg(F.collect_list(F.struct(*key, "plain")).alias("short"))
+    beside = pages.join(short, by) if by else pages.crossJoin(F.broadcast(short))  # one row, of the titles of one or two words
+    held = F.filter("short", lambda t: F.contains(F.col("normalized_text"), t["plain"]))
+    in_place = beside.select(*by, "candidate", F.explode(held).alias("t")).select(*[F.col("t")[k].alias(k) for k in key], *by, "candidate")
+    exact = whole.unionByName(in_place).distinct().join(known.select(*key, *by, (F.length("plain") >= K.TITLE_CHARS).alias("exact_score")), [*key, *by])
+    both = shared.select(*key, *by, "candidate", F.when(F.col("n_tokens") > 0, F.col("hits") / F.col("n_tokens")).alias("share")).join(exact, [*key, *by, "candidate"], "full")
+    score = F.when(F.col("exact_score"), F.lit(1.0)).when(~F.col("exact_score"), F.lit(0.0)).otherwise(F.coalesce("share", F.lit(0.0)))
+    return both.select(*key, "candidate", score.alias("score"), F.col("exact_score").isNotNull().alias("exact")).where("score > 0 or exact")
+
+
 def title_candidates(rows: DataFrame, content: DataFrame) -> DataFrame:
-    """Rows with the pages of their block's content (doc_id, block_index, page_index, normalized_text) and the title's score there."""
+    """Rows with the pages of their block's content (doc_id, block_index, page_index, normalized_text) that share words with the title, and its score there."""
     pages = content.select("doc_id", "block_index", F.col("page_index").alias("candidate"), "normalized_text")
-    plain = normalize_text(F.col("title"))
-    found = rows.withColumn("plain", plain).where(F.length("plain") >= K.TITLE_CHARS).join(pages, ["doc_id", "block_index"])
-    return found.withColumns({"score": title_match_score(F.col("plain"), F.col("normalized_text")), "exact": F.contains("normalized_text", F.col("plain"))}).drop("normalized_text", "plain")
+    titles = rows.select(*ROW, "block_index", normalize_text(F.col("title")).alias("plain")).where(F.length("plain") >= K.TITLE_CHARS).withColumn("in_doc", F.col("doc_id"))
+    pages = pages.withColumnRenamed("doc_id", "in_doc")
+    return titles_on_pages(titles, pages, ROW, ["in_doc", "block_index"])
 
 
 def unique_title(candidates: DataFrame, key: list[str] = ROW) -> DataFrame:
@@ -72,12 +105,12 @@ def resolve_rows(rows: DataFrame, segments: DataFrame, labels: DataFrame, pages:
     ranked = found.withColumns({"place": F.row_number().over(order), "runner_up": F.lead("score").over(order)})
     best = F.max(F.when(~F.col("conflict") & (F.col("place") == 1), F.struct("destination", "score", "runner_up", "exact", "title_score", "offset", "printed_start", "printed_end", "evidence_pages", "observed")))
     targets = lambda kept: F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct((-F.col("score")).alias("s"), (-F.col("evidence_pages")).alias("e"), "destination")))), lambda x: x["destination"] + 1)
-    by_segment = ranked.groupBy(*ROW).agg(best.alias("best"), targets(~F.col("conflict")).alias("viable"), targets(F.lit(True)).alias("all_targets"))
+    by_segment = cut(ranked.groupBy(*ROW).agg(best.alias("best"), targets(~F.col("conflict")).alias("viable"), targets(F.lit(True)).alias("all_targets")))
 
     content = pages.join(toc_pages.select("doc_id", "page_index"), ["doc_id", "page_index"], "left_anti")
     content = content.join(blocks.select("doc_id", "block_index", "region_start", "region_end"), "doc_id").where("page_index between region_start and region_end")
-    alone = rows.join(by_segment.select(*ROW), ROW, "left_anti")
-    titled = unique_title(title_candidates(alone, content)).where("destination is not null").join(alone, ROW)
+    alone = cut(rows.join(by_segment.select(*ROW), ROW, "left_anti"))
+    titled = unique_title(title_candidates(alone, cut(content))).where("destination is not null").join(alone, ROW)
     titled = _observed(titled, trusted).select(*ROW, F.struct("destination", "score", "observed").alias("by_title"))
 
     out = rows.join(by_segment, ROW, "left").join(titled, ROW, "left")

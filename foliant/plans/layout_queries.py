@@ -262,7 +262,7 @@ SELECT r.doc_id, r.page_index, CAST(n.place AS INTEGER) AS line_no, title, raw_l
     "toc_expand": "WITH RECURSIVE p AS (SELECT doc_id // 100 AS book, doc_id AS page, bool_or(coalesce(toxic, 0) = 1) AS seed, bool_or(coalesce(quality, 0) = 1) AS eligible FROM labels GROUP BY ALL), r(book, page) AS (SELECT book, page FROM p WHERE seed UNION SELECT p.book, p.page FROM r JOIN p ON p.book = r.book AND abs(p.page - r.page) = 1 AND (p.eligible OR p.seed)) SELECT book, page FROM r",
     "offset_histogram": f"WITH {TURNS_SQL} SELECT doc_id, label_kind, \"offset\", n_pages FROM histogram",
     "offset_retention": f"WITH {TURNS_SQL} SELECT doc_id, label_kind, \"offset\", n_pages, support FROM kept",
-    "page_sessions": "WITH p AS (SELECT event_type, event_id AS page FROM events WHERE event_id % 97 < 3), f AS (SELECT *, CASE WHEN page - lag(page) OVER (PARTITION BY event_type ORDER BY page) > 40 THEN 1 ELSE 0 END AS fresh FROM p), s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY event_type ORDER BY page) AS BIGINT) AS session FROM f) SELECT event_type, session, min(page) AS first_page, max(page) AS last_page, count(*) AS pages FROM s GROUP BY ALL",
+    "page_sessions": "WITH p AS (SELECT event_type, event_id AS page FROM events), f AS (SELECT *, CASE WHEN page - lag(page) OVER (PARTITION BY event_type ORDER BY page) > 40 THEN 1 ELSE 0 END AS fresh FROM p), s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY event_type ORDER BY page) AS BIGINT) AS session FROM f) SELECT event_type, session, min(page) AS first_page, max(page) AS last_page, count(*) AS pages FROM s GROUP BY ALL",
     "pagination_segments": f"WITH {TURNS_SQL} SELECT *, printed_start + \"offset\" AS physical_start, printed_end + \"offset\" AS physical_end FROM segments",
     "pagination_diagnostics": f"WITH {TURNS_SQL} SELECT doc_id, 1 AS first_page, CAST(page_count AS INTEGER) AS last_page, page_count AS margin_observations FROM counts",
     "manual_offset_segments": f"WITH {TURNS_SQL} SELECT doc_id, 0 AS block_index, label_kind, min(printed_number) AS printed_start, max(printed_number) AS printed_end, 4 AS \"offset\", CAST(0 AS BIGINT) AS evidence_pages, CAST(1.0 AS DOUBLE) AS density FROM turns GROUP BY doc_id, label_kind",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant import constants as K
@@ -104,15 +104,14 @@ def q_title_tokens(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(text.title_tokens(text.normalize_text(F.col("text"))), " ").alias("tokens"))
 
 
+def titles(spark, d):
+    return table(spark, d, "benchmark").select("item_id", text.normalize_text(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("plain"))
+
+
 def titled(spark, d):
-    """Every item as a title with every document as a page. A page is cut down to the words of titles before they meet."""
-    title = text.normalize_text(F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
-    titles = table(spark, d, "benchmark").select("item_id", title.alias("title")).withColumn("tokens", text.title_tokens(F.col("title")))
-    pages = table(spark, d, "documents").repartition("doc_id").select(F.col("doc_id").alias("candidate"), text.normalize_text(F.col("text")).alias("page"))
-    vocabulary = titles.agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("vocabulary"))
-    known = pages.crossJoin(vocabulary).select("candidate", "page", F.array_intersect("vocabulary", F.split("page", " ")).alias("words"))
-    score = text.title_match_score(F.col("title"), F.col("page"), F.col("tokens"), F.col("words"))
-    return known.crossJoin(titles).select("item_id", "candidate", score.alias("score"), F.contains("page", F.col("title")).alias("exact"))
+    """Every item as a title with the documents, as pages, that share words with it."""
+    pages = table(spark, d, "documents").select(F.col("doc_id").alias("candidate"), text.normalize_text(F.col("text")).alias("normalized_text"))
+    return resolve.titles_on_pages(titles(spark, d), pages, ["item_id"], [])
 
 
 def q_title_match_score(spark, d):
@@ -124,16 +123,15 @@ def q_title_candidates(spark, d):
 
 
 def q_title_unique(spark, d):
-    # what decides are the two best of an item, whole titles first; the others needn't be sorted
-    best = Window.partitionBy("item_id").orderBy(F.desc("exact"), F.desc("score"), F.desc("candidate"))
-    two = titled(spark, d).withColumn("best", F.row_number().over(best)).where("best <= 2").drop("best")
-    return resolve.unique_title(two, ["item_id"]).select("item_id", "destination", F.round("score", 6).alias("score"))
+    found = resolve.unique_title(titled(spark, d), ["item_id"])
+    out = titles(spark, d).select("item_id").join(found, "item_id", "left")
+    return out.select("item_id", "destination", F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
 _STOP = sql_list(K.STOPWORDS)
-_TITLED_SQL = f"""titles AS (SELECT item_id, {sql_norm("array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')")} AS title, item_id % 10 AS tenth FROM benchmark),
-pages_ AS (SELECT doc_id, {sql_norm("text")} AS page, doc_id % 10 AS tenth FROM documents),
-both_ AS (SELECT item_id, doc_id, title, page, list_filter(string_split(title, ' '), lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t)) AS useful FROM titles JOIN pages_ USING (tenth)),
+_TITLED_SQL = f"""titles AS (SELECT item_id, {sql_norm("array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')")} AS title FROM benchmark),
+pages_ AS (SELECT doc_id, {sql_norm("text")} AS page FROM documents),
+both_ AS (SELECT item_id, doc_id, title, page, list_filter(string_split(title, ' '), lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t)) AS useful FROM titles, pages_),
 titled AS (SELECT item_id, doc_id, contains(page, title) AS exact, CASE WHEN length(title) < 5 THEN 0.0 WHEN contains(page, title) THEN 1.0 WHEN len(useful) < 2 THEN 0.0
   ELSE len(list_intersect(list_distinct(useful), list_distinct(string_split(page, ' ')))) / len(list_distinct(useful)) END AS score FROM both_)"""
 
