@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from foliant import constants as K
 
+#: Height of a band of a page, in points.
+BAND = 72.0
+
 
 def rect(*sides: Column | float) -> Column:
     return F.array(*[s if isinstance(s, Column) else F.lit(float(s)) for s in sides])
@@ -53,3 +56,13 @@ def padded_flip(words: Column, width: Column, height: Column) -> Column:
     most = lambda f: F.array_max(F.transform(words, lambda w: w[f]))
     pad, zero = F.lit(K.RECT_PADDING), F.lit(0.0)
     return flip(F.greatest(zero, least("x0") - pad), F.greatest(zero, least("top") - pad), F.least(width, most("x1") + pad), F.least(height, most("bottom") + pad), height)
+
+
+def bands(rect: Column) -> Column:
+    """Numbers of the horizontal bands that a rectangle touches, in order: rectangles that overlap share one.
+
+    What lies beyond any page, or isn't finite, counts to the outermost bands.
+    """
+    at = lambda y: F.floor(F.least(F.greatest(y, F.lit(-20.0 * BAND)), F.lit(200.0 * BAND)) / BAND)
+    low, high = at(F.get(rect, F.lit(1))), at(F.get(rect, F.lit(3)))
+    return F.sequence(F.least(low, high), F.greatest(low, high))

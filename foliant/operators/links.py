@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant import constants as K
-from foliant.functions.geometry import equivalent, flip, overlap_ratio, rect_error
+from foliant.functions.geometry import bands, flip, overlap_ratio, rect_error
 from foliant.functions.uri import bare_domain, normalized_uri, supported_uri
 
 KINDS = ["internal", "external", "other"]
@@ -92,7 +92,12 @@ def greedy_claims(candidates: DataFrame, occupied: DataFrame | None = None, by:
 def overlapping_links(links: DataFrame, existing: DataFrame, overlap: float = K.OVERLAP) -> DataFrame:
     """Pairs of a link and an existing one on its page whose rectangles overlap: the spatial join behind replay and coverage."""
     there = existing.select("doc_id", F.col("page_index").alias("source_page"), F.col("kind").alias("there_kind"), F.col("rect").alias("there_rect"), F.col("target_page").alias("there_target"), F.col("uri").alias("there_uri"))
-    return links.join(there, ["doc_id", "source_page"]).where(overlap_ratio(F.col("rect"), F.col("there_rect")) >= overlap)
+    mine = links.withColumn("__bands", bands(F.col("rect")))
+    there = there.withColumn("__there", bands(F.col("there_rect")))
+    mine, there = mine.withColumn("__band", F.explode("__bands")), there.withColumn("__band", F.explode("__there"))
+    first = F.greatest(F.col("__bands")[0], F.col("__there")[0])  # each pair once, in the first band that both touch
+    met = mine.join(there, ["doc_id", "source_page", "__band"]).where((F.col("__band") == first) & (overlap_ratio(F.col("rect"), F.col("there_rect")) >= overlap))
+    return met.drop("__band", "__bands", "__there")
 
 
 def existing_targets(links: DataFrame, existing: DataFrame) -> DataFrame:
@@ -133,7 +138,3 @@ def link_errors(links: DataFrame, pages: DataFrame) -> DataFrame:
     found = links.where("kind <> 'other'").join(pages.select("doc_id", "page_index", "mediabox"), ["doc_id", "page_index"])
     fault = F.coalesce(rect_error(F.col("rect"), F.col("mediabox")), F.when((F.col("kind") == "internal") & F.col("target_page").isNull(), F.lit("unresolved internal destination")).when((F.col("kind") == "external") & ~supported_uri(F.col("uri")), F.lit("invalid external URI")))
     return found.withColumn("error", fault).where("error is not null").select("doc_id", "page_index", "annot_seq", "error")
-
-
-def same_rect(a: Column, b: Column) -> Column:
-    return equivalent(a, b)

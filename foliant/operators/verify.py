@@ -64,11 +64,11 @@ def count_reconcile(existing: DataFrame, added: DataFrame, final: DataFrame) ->
 
 def exact_match(expected: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
     """(columns, occurrence, side): rows that one multiset has and the other lacks."""
-    number = lambda rows: rows.select(*columns, F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(1))).alias("occurrence"))
-    a, b = number(expected).withColumn("__a", F.lit(True)), number(actual).withColumn("__b", F.lit(True))
-    both = a.alias("x").join(b.alias("y"), reduce(lambda p, q: p & q, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*columns, "occurrence"]]), "full")
-    out = both.where("__a is null or __b is null")
-    return out.select(*[F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in [*columns, "occurrence"]], F.when(F.col("__a").isNull(), "unexpected").otherwise("missing").alias("side"))
+    side = lambda rows, a, b: rows.select(*columns, F.lit(a).cast("long").alias("__a"), F.lit(b).cast("long").alias("__b"))
+    # both sides are counted by value where they lie; only what is left over becomes rows
+    counts = side(expected, 1, 0).unionByName(side(actual, 0, 1)).groupBy(*columns).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b")).where("__a <> __b")
+    over = F.explode(F.sequence((F.least("__a", "__b") + 1).cast("int"), F.greatest("__a", "__b").cast("int")))
+    return counts.select(*columns, over.alias("occurrence"), F.when(F.col("__a") > F.col("__b"), "missing").otherwise("unexpected").alias("side"))
 
 
 def tolerant_match(expected: DataFrame, actual: DataFrame, tolerance: float = K.RECT_MATCH) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from foliant import constants as K
 from foliant.functions import text
 from foliant.operators import layout, links, pagination, resolve
-from foliant.plans.scalar_queries import _STOP, _VALUE, SQL_URI, SQL_URI_BARE, sql_label, sql_list, sql_norm, sql_number, table
+from foliant.plans.scalar_queries import _STOP, _VALUE, FIRST_SENTENCE, SQL_URI, SQL_URI_BARE, sql_label, sql_list, sql_norm, sql_number, table
 from foliant.sources.relations import HEIGHT, WIDTH, text_words
 
 
@@ -194,7 +194,7 @@ def q_trusted_labels(spark, d):
 
 def turn_rows(spark, d):
     seen = turns(spark, d)
-    return seen.select("doc_id", F.lit(0).alias("block_index"), F.lit(-1).alias("page_index"), F.col("page_index").alias("line_no"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("title"), (F.col("printed_number") + F.when(F.col("page_index") % 9 == 0, 40).otherwise(0)).alias("printed_number"), "label_kind")
+    return seen.select("doc_id", F.lit(0).alias("block_index"), F.lit(-1).alias("page_index"), F.col("page_index").alias("line_no"), F.regexp_extract("text", FIRST_SENTENCE, 0).alias("title"), (F.col("printed_number") + F.when(F.col("page_index") % 9 == 0, 40).otherwise(0)).alias("printed_number"), "label_kind")
 
 
 def q_toc_segment_candidates(spark, d):
@@ -214,7 +214,7 @@ def q_toc_resolution(spark, d):
 _TITLE_SCORE = f"""CASE WHEN length({{t}}) < 5 THEN 0.0 WHEN contains({{p}}, {{t}}) THEN 1.0 WHEN len(list_filter(string_split({{t}}, ' '), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x))) < 2 THEN 0.0
   ELSE len(list_intersect(list_distinct(list_filter(string_split({{t}}, ' '), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x))), list_distinct(string_split({{p}}, ' ')))) / len(list_distinct(list_filter(string_split({{t}}, ' '), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x)))) END"""
 ROWS_SQL = f"""{TURNS_SQL},
-trows AS (SELECT doc_id, page_index AS line_no, {sql_norm("array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ')")} AS title, CAST(printed_number + CASE WHEN page_index % 9 = 0 THEN 40 ELSE 0 END AS INTEGER) AS printed_number, label_kind FROM turns),
+trows AS (SELECT doc_id, page_index AS line_no, {sql_norm(f"regexp_extract(text, '{FIRST_SENTENCE}')")} AS title, CAST(printed_number + CASE WHEN page_index % 9 = 0 THEN 40 ELSE 0 END AS INTEGER) AS printed_number, label_kind FROM turns),
 cands AS (SELECT r.*, s."offset", s.evidence_pages, r.printed_number + s."offset" - 1 AS destination FROM trows r JOIN segments s ON r.doc_id = s.doc_id AND r.label_kind = s.label_kind AND r.printed_number BETWEEN s.printed_start - 4 AND s.printed_end + 4 JOIN counts c ON c.doc_id = r.doc_id WHERE r.printed_number + s."offset" - 1 BETWEEN 0 AND c.page_count - 1)"""
 TRUSTED_SQL = """trusted AS (SELECT t.doc_id, t.label_kind, t.page_index, list_sort(list(DISTINCT t.printed_number)) AS observed FROM turns t JOIN (SELECT DISTINCT doc_id, label_kind, "offset" FROM segments) s ON t.doc_id = s.doc_id AND t.label_kind = s.label_kind AND t.page_index + 1 - t.printed_number = s."offset" GROUP BY ALL)"""
 RESOLUTION_SQL = f"""WITH {ROWS_SQL}, {TRUSTED_SQL},

@@ -136,6 +136,3 @@ def report(plan: Plan, documents: DataFrame) -> DataFrame:
         out = out.join(part, "doc_id", "left")
     return out
 
-
-def spatial_overlap(a: Column, b: Column) -> Column:
-    return overlap_ratio(a, b) >= K.OVERLAP

@@ -41,7 +41,7 @@ def sql_number(core: str) -> str:
     return f"CASE WHEN regexp_matches({core}, '^[0-9]') THEN TRY_CAST({core} AS INTEGER) ELSE {sql_roman(core)} END"
 
 
-SPACES = r"[ \t\n\r\f\v]+"
+FIRST_SENTENCE = "^[^.!?]*"
 TOKENS_SQL = r"tokens AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\r\f\v]+')) AS token FROM documents) WHERE token <> '' GROUP BY token)"
 
 
@@ -65,7 +65,9 @@ _ADDRESSES = f"addresses AS (SELECT token FROM tokens UNION SELECT url FROM page
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    return tokens(spark, sf_dir).select("token").union(pages.select("url")).union(pages.select(host)).union(pages.select(F.concat(F.lit("("), host, F.lit("/a.")))).distinct()
+    # an address holds a full stop, a colon or an at sign; other words needn't be counted
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \t\n\r\f\x0b]+")).alias("token")).where(F.col("token").rlike("[.:@]")).distinct()
+    return words.union(pages.select("url")).union(pages.select(host)).union(pages.select(F.concat(F.lit("("), host, F.lit("/a.")))).distinct()
 
 
 def q_normalize_text(spark, d):
@@ -105,7 +107,8 @@ def q_title_tokens(spark, d):
 
 
 def titles(spark, d):
-    return table(spark, d, "benchmark").select("item_id", text.normalize_text(F.array_join(F.slice(F.split("text", " "), 1, 8), " ")).alias("plain"))
+    """The first sentence of an item is its title."""
+    return table(spark, d, "benchmark").select("item_id", text.normalize_text(F.regexp_extract("text", FIRST_SENTENCE, 0)).alias("plain"))
 
 
 def titled(spark, d):
@@ -129,7 +132,7 @@ def q_title_unique(spark, d):
 
 
 _STOP = sql_list(K.STOPWORDS)
-_TITLED_SQL = f"""titles AS (SELECT item_id, {sql_norm("array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')")} AS title FROM benchmark),
+_TITLED_SQL = f"""titles AS (SELECT item_id, {sql_norm(f"regexp_extract(text, '{FIRST_SENTENCE}')")} AS title FROM benchmark),
 pages_ AS (SELECT doc_id, {sql_norm("text")} AS page FROM documents),
 both_ AS (SELECT item_id, doc_id, title, page, list_filter(string_split(title, ' '), lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t)) AS useful FROM titles, pages_),
 titled AS (SELECT item_id, doc_id, contains(page, title) AS exact, CASE WHEN length(title) < 5 THEN 0.0 WHEN contains(page, title) THEN 1.0 WHEN len(useful) < 2 THEN 0.0

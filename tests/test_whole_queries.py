@@ -17,7 +17,7 @@ def tables(spark, folder):
 def scored():
     out = []
     for i, item in ITEMS:
-        title = " ".join(item.split()[:8])
+        title = item.split(".")[0]
         tokens = [t for t in title.split() if len(t) > 2 and t not in K.STOPWORDS]
         for d, page in DOCS:
             share = len(set(tokens) & set(page.split())) / len(set(tokens)) if len(tokens) >= K.TITLE_TOKENS else 0.0
