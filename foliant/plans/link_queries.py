@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import geometry
-from foliant.operators import links, verify
+from foliant.operators import gates, links, verify
 from foliant.plans import plan
 from foliant.plans.layout_queries import pages_of, words_of
 from foliant.plans.scalar_queries import _RECT_ERROR, RECTS_SQL, SQL_SUPPORTED, rects, sql_overlap, table
@@ -181,17 +181,19 @@ def q_signature_gate(spark, d):
     """Forms as trees: the orders of a customer below the customer; a field far down makes the file signed."""
     n = F.col("o_orderkey")
     fields = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), n.alias("field"), F.when(n % 5 == 0, F.lit(None)).otherwise((n / 2).cast("bigint")).alias("parent"), (n % 211 == 7).alias("signature"))
-    fields.createOrReplaceTempView("foliant_fields")
-    return spark.sql("""WITH RECURSIVE below(doc_id, field, signature) AS (
-      SELECT doc_id, field, signature FROM foliant_fields WHERE parent IS NULL
-      UNION ALL SELECT f.doc_id, f.field, f.signature FROM below b JOIN foliant_fields f ON f.doc_id = b.doc_id AND f.parent = b.field)
-      SELECT doc_id, count(*) AS fields, bool_or(signature) AS has_signature FROM below GROUP BY doc_id""")
+    return gates.reachable_fields(fields).groupBy("doc_id").agg(F.count("*").alias("fields"), F.bool_or("signature").alias("has_signature"))
 
 
 def q_unsupported_features(spark, d):
-    p = table(spark, d, "pages")
-    marks = F.array_compact(F.array(F.when(F.contains("html", F.lit("<script")), "script"), F.when(F.contains("url", F.lit("ref=")), "ref"), F.when(F.contains("url", F.lit("#top")), "top")))
-    return p.select("page_id", F.array_join(marks, ",").alias("features")).where("features <> ''")
+    """Web pages stand for documents: scripts for a collection, frames or tagged addresses for a form."""
+    documents = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.contains("html", F.lit("<script")).alias("has_collection"), (F.contains("url", F.lit("ref=")) | F.contains("url", F.lit("#top"))).alias("has_xfa"))
+    return gates.unsupported_features(documents).select(F.col("doc_id").alias("page_id"), F.array_join("features", ", ").alias("features"))
+
+
+def q_reference_candidates(spark, d):
+    kept, warnings = plan.reference_candidates(annotations_of(spark, d).withColumn("target_page", F.when(F.col("annot_seq") % 2 == 0, F.lit(3))))
+    rows = kept.select("doc_id", F.col("source_page"), "kind", F.lit("candidate").alias("found"))
+    return rows.union(warnings.select("doc_id", F.col("page") - 1, F.lit(None).cast("string"), "warning")).groupBy("doc_id", "source_page", "kind", "found").agg(F.count("*").alias("n"))
 
 
 def q_ordered_distinct(spark, d):
@@ -202,8 +204,7 @@ def q_ordered_distinct(spark, d):
 def auto(spark, d):
     from foliant.plans.plan import automatic_plan
 
-    empty = annotations_of(spark, d).where("doc_id < 0")
-    return automatic_plan(words_of(spark, d), pages_of(spark, d), empty)
+    return automatic_plan(words_of(spark, d), pages_of(spark, d), annotations_of(spark, d))
 
 
 def q_plan_links(spark, d):
@@ -254,7 +255,8 @@ ORACLE_SQL = {
 SELECT * FROM (SELECT doc_id, CASE WHEN n BETWEEN 1 AND 6 THEN 0 ELSE 1 END AS position, CASE n WHEN 1 THEN 'manifest must be an object with a links array' WHEN 2 THEN 'manifest is neither PASS nor reviewed' WHEN 3 THEN 'manifest schema_version is not supported' WHEN 4 THEN 'manifest requires input_sha256' WHEN 5 THEN 'manifest hashes disagree' WHEN 6 THEN 'manifest input_sha256 belongs to another file'
   WHEN 7 THEN 'unsupported kind' WHEN 8 THEN 'invalid source page' WHEN 9 THEN 'invalid rectangle' WHEN 10 THEN CASE WHEN internal THEN 'invalid target page' END WHEN 11 THEN CASE WHEN NOT internal THEN 'unsupported URI' END END AS error FROM m) WHERE error IS NOT NULL""",
     "signature_gate": "WITH RECURSIVE f AS (SELECT o_custkey AS doc_id, o_orderkey AS field, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey // 2 END AS parent, o_orderkey % 211 = 7 AS signature FROM orders), below AS (SELECT doc_id, field, signature FROM f WHERE parent IS NULL UNION ALL SELECT f.doc_id, f.field, f.signature FROM below b JOIN f ON f.doc_id = b.doc_id AND f.parent = b.field) SELECT doc_id, count(*) AS fields, bool_or(signature) AS has_signature FROM below GROUP BY doc_id",
-    "unsupported_features": "SELECT page_id, features FROM (SELECT page_id, array_to_string(list_filter([CASE WHEN contains(html, '<script') THEN 'script' END, CASE WHEN contains(url, 'ref=') THEN 'ref' END, CASE WHEN contains(url, '#top') THEN 'top' END], lambda x: x IS NOT NULL), ',') AS features FROM pages) WHERE features <> ''",
+    "unsupported_features": "SELECT page_id, features FROM (SELECT page_id, array_to_string(list_filter([CASE WHEN contains(html, '<script') THEN 'PDF portfolio/collection' END, CASE WHEN contains(url, 'ref=') OR contains(url, '#top') THEN 'XFA form' END], lambda x: x IS NOT NULL), ', ') AS features FROM pages) WHERE features <> ''",
+    "reference_candidates": f"WITH {ANNOTATIONS_SQL} SELECT doc_id, page_index AS source_page, kind, found, count(*) AS n FROM (SELECT doc_id, page_index, CASE WHEN lost THEN NULL ELSE kind END AS kind, CASE WHEN lost THEN 'unresolved reference link' ELSE 'candidate' END AS found FROM (SELECT *, kind = 'internal' AND annot_seq % 2 <> 0 AS lost FROM kinds WHERE kind <> 'other')) GROUP BY ALL",
     "ordered_distinct": "SELECT conv_id, string_agg(role, ',' ORDER BY first, role) AS roles FROM (SELECT conv_id, role, min(turn) AS first FROM conversations GROUP BY ALL) GROUP BY conv_id",
 }
 ORACLE_SQL["recovered_uris"] = f"WITH {ANNOTATIONS_SQL}, c AS (SELECT doc_id, page_index, annot_seq, rtrim(ltrim(CASE WHEN n % 4 = 1 THEN 'www.' || replace(href, '/', '') || '.org' ELSE href END, '([{{<''\"'), '.,;:!?)]}}>''\"') AS v FROM kinds WHERE kind = 'other') SELECT doc_id, page_index, annot_seq, CASE WHEN regexp_matches(v, '^https?://', 'i') THEN v ELSE 'https://' || v END AS uri FROM c WHERE regexp_matches(v, '^(?:https?://|www\\.)[^\\s<>]+$', 'i')"

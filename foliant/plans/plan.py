@@ -8,14 +8,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant import constants as K
-from foliant.functions.geometry import overlap_ratio
 from foliant.functions.uri import supported_uri
 from foliant.operators import layout, links, pagination, resolve
 from foliant.plans.materialize import cut
 
 LINK = ["doc_id", "kind", "source_page", "rect", "target_page", "uri", "label", "title", "printed_label", "printed_number", "label_kind", "matched_by", "confidence", "evidence"]
 
+CONFLICT = "replayed links overlap links with other destinations"
+
 
 @dataclass(frozen=True)
 class Options:
@@ -120,6 +120,38 @@ def replay_plan(manifest_links: DataFrame, annotations: DataFrame, toc_links: bo
     return links.replay_status(kept, links.link_annotations(annotations))
 
 
+def reference_candidates(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, warnings) of a version of the same layout, its destinations resolved.
+
+    Candidates: doc_id, link_seq, kind, source_page, rect, target_page, uri, label. Warnings: doc_id, page, warning, for
+    links whose destination or address isn't there.
+    """
+    found = links.link_annotations(annotations).where("kind <> 'other' and rect is not null")
+    lost = F.when((F.col("kind") == "internal") & F.col("target_page").isNull(), "unresolved reference link").when((F.col("kind") == "external") & F.col("uri").isNull(), "unresolved reference address")
+    found = found.withColumn("warning", lost)
+    inner = F.col("kind") == "internal"
+    kept = found.where("warning is null").select("doc_id", F.struct("page_index", "annot_seq").alias("link_seq"), "kind", F.col("page_index").alias("source_page"), "rect", F.when(inner, F.col("target_page")).alias("target_page"), F.when(~inner, F.col("uri")).alias("uri"), F.lit("copied from reference").alias("label"))
+    return kept, found.where("warning is not null").select("doc_id", (F.col("page_index") + 1).alias("page"), "warning")
+
+
+def reference_plan(reference: DataFrame, reference_pages: DataFrame, annotations: DataFrame, pages: DataFrame, toc_links: bool = True, url_links: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(links with status, review): the links of a version of the same layout, put on documents that lack them.
+
+    ``reference`` and ``annotations``: annotations with resolved target pages; both pages with mediabox, cropbox and
+    rotate. Documents whose layout differs from the reference get no link, and the review says so.
+    """
+    odd = cut(links.geometry_mismatch(reference_pages, pages).select("doc_id").distinct())
+    kept, warnings = reference_candidates(reference.join(odd, "doc_id", "left_anti"))
+    planned = cut(replay_plan(kept, annotations, toc_links, url_links))
+    review = _review([(odd, "layout differs from the reference"), (warnings, "unresolvable reference links"), (planned.where("status = 'conflict'"), CONFLICT)])
+    return planned, review
+
+
+def replay_review(planned: DataFrame) -> DataFrame:
+    """(doc_id, reason): documents where a link to replay meets another one; ``planned`` as ``replay_plan`` makes it."""
+    return _review([(planned.where("status = 'conflict'"), CONFLICT)])
+
+
 def status(review: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, status, review_reasons): PASS without reasons, else NEEDS_REVIEW."""
     why = review.groupBy("doc_id").agg(F.sort_array(F.collect_set("reason")).alias("review_reasons"))
@@ -135,4 +167,3 @@ def report(plan: Plan, documents: DataFrame) -> DataFrame:
     for part in (added, by_doc(plan.segments, "pagination_segments"), by_doc(plan.completeness, "toc_completeness"), by_doc(plan.unresolved, "unresolved_toc_rows"), plan.skipped_bare_domains, pagination.single_offset(plan.segments), by_doc(plan.links, "links")):
         out = out.join(part, "doc_id", "left")
     return out
-

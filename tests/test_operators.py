@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foliant import constants as K
 from foliant.functions import geometry, text, uri
-from foliant.operators import layout, links, pagination, verify
+from foliant.operators import gates, layout, links, pagination, verify
 from foliant.sources import relations
 from foliant.streaming.manifests import watch_manifests
 
@@ -176,3 +176,36 @@ def test_files(spark, tmp_path):
     assert all(len(r["sha256"]) == 64 for r in relations.file_digests(spark, f"{tmp_path}/*.pdf").collect())
     named = relations.output_paths(spark.createDataFrame([("/x/book.pdf",)], "path string")).first()
     assert named["output"] == "/x/linked/book-linked.pdf"
+
+
+def test_fields_hang_on_the_form(spark):
+    chain = [(1, i, i - 1 if i else None, i == 40) for i in range(41)]
+    circle = [(2, 1, 2, True), (2, 2, 1, False), (2, 3, 3, True), (2, 4, None, False), (2, 5, 9, True), (2, 6, 5, True), (2, 7, 4, False)]
+    fields = spark.createDataFrame(chain + circle + [(3, 1, None, False)], "doc_id int, field int, parent int, signature boolean")
+    held = {(r["doc_id"], r["field"]) for r in gates.reachable_fields(fields).collect()}
+    assert held == {(1, i) for i in range(41)} | {(2, 4), (2, 7), (3, 1)}
+    documents = spark.createDataFrame([(1, None, None, None), (2, False, True, True), (3, True, False, False), (4, None, False, None)], "doc_id int, has_perms boolean, has_collection boolean, has_xfa boolean")
+    assert {r["doc_id"]: r["has_signature"] for r in gates.has_signature(documents, fields).collect()} == {1: True, 2: False, 3: True, 4: False}
+    told = {(r["doc_id"], r["reason"]) for r in gates.refused(documents, fields).collect()}
+    assert told == {(1, "the document is signed"), (3, "the document is signed"), (2, "unsupported features: PDF portfolio/collection, XFA form")}
+    assert {r["doc_id"] for r in gates.refused(documents, fields, allow_signed=True).collect()} == {2}
+    assert gates.reachable_fields(fields.where("false")).count() == 0
+
+
+def test_overlaps_are_found_in_bands(spark):
+    rnd = random.Random(5)
+    box = lambda: [x := rnd.uniform(-50, 500), y := rnd.uniform(-200, 900), x + rnd.uniform(-5, 90), y + rnd.uniform(-5, 300)]
+    mine = [(1, i, i % 3, box()) for i in range(150)] + [(1, 900, 0, None), (1, 901, 0, [0.0, float("nan"), 1.0, 1.0]), (1, 902, 1, [0.0, -1e9, 600.0, 1e9])]
+    there = [(1, i % 3, "internal", box(), i, None) for i in range(150)]
+    a = spark.createDataFrame(mine, "doc_id int, link_seq int, source_page int, rect array<double>")
+    b = spark.createDataFrame(there, "doc_id int, page_index int, kind string, rect array<double>, target_page int, uri string")
+
+    def ratio(r, q):
+        if r is None:
+            return 0
+        w, h = min(r[2], q[2]) - max(r[0], q[0]), min(r[3], q[3]) - max(r[1], q[1])
+        area = min(max(0, r[2] - r[0]) * max(0, r[3] - r[1]), max(0, q[2] - q[0]) * max(0, q[3] - q[1]))
+        return w * h / area if w > 0 and h > 0 and area > 0 else 0
+
+    want = sorted((i, t) for _, i, p, r in mine for _, q, _, s, t, _ in there if p == q and ratio(r, s) >= 0.8)
+    assert sorted((r["link_seq"], r["there_target"]) for r in links.overlapping_links(a, b).collect()) == want and len(want) > 20
