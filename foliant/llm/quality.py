@@ -12,15 +12,23 @@ The strengths of both shrinkages are estimated from the spread between sites
 by the method of moments, in grouped aggregation. The posterior log odds are
 the document's plus the path's minus the global ones.
 
+A document's own labels are taken out of its site's sums before its posterior is
+made, so a labelled document is judged as if it were not (but for the weights of
+the regression and the strengths, which single labels hardly move).
+
 Only a site's sums move; a site with a third of all rows is summed where its
-rows lie. Null text counts as empty, null hosts and paths are sites of their
-own, labels that are null or without a document are ignored, and without labels
-every posterior is 1/2. Repeated rows are judged each; label rows count each.
+rows lie. Defined cases: null text counts as empty, null hosts and paths are sites
+of their own, labels that are null or without a document are ignored, and without
+labels every posterior is 1/2. Repeated rows are judged each; label rows count
+each. An empty table gives an empty one. Columns other than id, text, host and
+path are left out, whatever their names. There are no ties: a posterior of just
+the threshold is kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -120,24 +128,34 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = cut(rows.join(given, "id"))
     n = known.count()
     share = min(1.0, max_fit / n) if n else 0.0
-    drawn = known.where(F.pmod(F.xxhash64(F.col("id"), F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "x", "y").orderBy("id", "y").toPandas()
+    drawn = known.where(F.pmod(F.xxhash64(F.col("id"), F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30))).select("id", "x", "y")
+    drawn = drawn.orderBy("id", "y").limit(2 * max_fit).toPandas()  # max_fit is met on average; the limit holds for ids of very many label rows
     weights = fit(np.array(drawn["x"].tolist(), float).reshape(-1, len(FEATURES)), drawn["y"].to_numpy())
 
-    path = known.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k"))
+    own = cut(known.groupBy("id", "host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k")))
+    path = own.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     host = path.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = host.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     base = (total["k"] + 1) / (total["n"] + 2) if total["n"] else 0.5
     tight = strength(host, base)
-    host = host.select("host", ((F.col("k") + tight * base) / (F.col("n") + tight)).alias("p_host"))
-    path = path.withColumnRenamed("host", "h").join(host, F.col("h").eqNullSafe(F.col("host"))).drop("h")
-    inner = strength(path, F.col("p_host"))
-    path = path.select(F.col("host").alias("h"), F.col("path").alias("p"), ((F.col("k") + inner * F.col("p_host")) / (F.col("n") + inner)).alias("p_path"))
-    host = host.withColumnRenamed("host", "h2")
+    posterior = lambda n, k, prior, weight: (k + weight * prior) / (n + weight)
+    whole = host.select(F.col("host").alias("h"), posterior(F.col("n"), F.col("k"), F.lit(base), tight).alias("p_host"))
+    inner = strength(path.join(whole, F.col("host").eqNullSafe(F.col("h"))), F.col("p_host"))
+
+    def beside(rows: DataFrame, sums: DataFrame, on: list[str], name: str) -> DataFrame:
+        """``rows`` with the sums of their site or their own part of it; 0 where there is none."""
+        side = sums.select(*[F.col(c).alias(f"__{c}") for c in on], F.col("n").alias(f"n_{name}"), F.col("k").alias(f"k_{name}"))
+        met = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]
+        out = rows.join(side, reduce(lambda x, y: x & y, met), "left").drop(*[f"__{c}" for c in on])
+        return out.fillna(0.0, [f"n_{name}", f"k_{name}"])
 
     odds = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(w)) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     scored = rows.select("id", "host", "path", (1 / (1 + F.exp(-odds))).alias("p_document"))
-    out = scored.join(path, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left").join(host, F.col("host").eqNullSafe(F.col("h2")), "left")
-    out = out.withColumn("p_site", F.coalesce("p_path", "p_host", F.lit(base)))
+    out = beside(beside(scored, path, ["host", "path"], "path"), host, ["host"], "host")
+    out = beside(out, own, ["id", "host", "path"], "own")
+    out = beside(out, own.groupBy("id", "host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), ["id", "host"], "own_host")
+    p_host = posterior(F.col("n_host") - F.col("n_own_host"), F.col("k_host") - F.col("k_own_host"), F.lit(base), tight)
+    out = out.withColumn("p_site", posterior(F.col("n_path") - F.col("n_own"), F.col("k_path") - F.col("k_own"), p_host, inner))
     together = log_odds(F.col("p_document")) + log_odds(F.col("p_site")) - log_odds(F.lit(base))
     out = out.withColumn("p_quality", 1 / (1 + F.exp(-together)))
     return out.select(F.col("id").alias(id_col), "p_document", "p_site", "p_quality", (F.col("p_quality") >= threshold).alias("keep"))
