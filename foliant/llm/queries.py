@@ -163,8 +163,8 @@ WITH events(kind, pattern, action, moment) AS (VALUES
 named AS (
   SELECT kind, action, CAST(moment AS TIMESTAMP) AS moment,
          CASE WHEN kind = 'prefix'
-              THEN lower(regexp_extract(bare, '^[^/]*')) || regexp_extract(bare, '^[^/]*(.*?)/*$', 1)
-              ELSE lower(regexp_extract(bare, '^[^/]*')) END AS pattern
+              THEN lower(regexp_extract(bare, '^(?:[^/@]*@)?([^/:]*)', 1)) || regexp_extract(bare, '^[^/]*(.*?)/*$', 1)
+              ELSE lower(regexp_extract(bare, '^(?:[^/@]*@)?([^/:]*)', 1)) END AS pattern
   FROM (SELECT *, regexp_replace(pattern, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM events)),
 single AS (SELECT kind, pattern, moment, max(action) AS action FROM named GROUP BY ALL),
 listed AS (

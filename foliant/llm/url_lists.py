@@ -10,9 +10,14 @@ one interval at a time at most, a key gives one row at most.
 
 Equal captures (same URL and time) are evaluated once. The intervals are sent to
 the executors only if they are few; else both sides are dealt by key, where the
-adaptive join splits a hot host. A null URL, a URL without a host and a null
-time match nothing. Events with a null field are ignored. All rows and columns
-of the captures stay; columns named like the added ones are replaced.
+adaptive join splits a hot host.
+
+Defined cases: a null URL, a URL without a host and a null time match nothing.
+Ports and user names count on neither side. Events with a null field are ignored.
+All rows and columns of the captures stay, also repeated rows; columns named like
+the added ones are replaced. Of several active entries the narrowest counts:
+prefixes before hosts before domains, longer patterns first. An empty list blocks
+nothing, an empty table of captures gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ def url_host(url: Column) -> Column:
 def validity(events: DataFrame) -> DataFrame:
     """(kind, pattern, since, until) of every time a pattern was on the list; ``until`` is null for the present."""
     bare = F.regexp_replace(F.col("pattern"), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host, path = F.lower(F.regexp_extract(bare, r"^[^/]*", 0)), F.regexp_extract(bare, r"^[^/]*(.*?)/*$", 1)
+    host, path = F.lower(F.regexp_extract(bare, r"^(?:[^/@]*@)?([^/:]*)", 1)), F.regexp_extract(bare, r"^[^/]*(.*?)/*$", 1)
     rows = events.select("kind", F.when(F.col("kind") == "prefix", F.concat(host, path)).otherwise(host).alias("pattern"), "action", F.col("at").cast("timestamp").alias("at"))
     rows = rows.where("kind in ('host', 'domain', 'prefix') and pattern <> '' and action in ('add', 'remove') and at is not null")
     rows = rows.groupBy("kind", "pattern", "at").agg(F.max("action").alias("action"))
