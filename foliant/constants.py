@@ -6,6 +6,12 @@ STOPWORDS = ("a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with
 BLOCKED_FILE_TLDS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "png", "jpg", "jpeg", "svg")
 TRAILING_URL_PUNCTUATION = ".,;:!?)]}>'\""
 LEADING_URL_PUNCTUATION = "([{<'\""
+#: What makes an address; each pattern is to match a whole word.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}"
+WEB = r"(?:https?://|www\.)[^\s<>]+"
+DOMAIN = r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?::[0-9]{1,5})?(?:/[^\s<>]*)?"
+#: How a supported address begins.
+SUPPORTED = r"(?:(?:https?|ftp)://[^/?#]|mailto:[^?#]*@)"
 TITLE_EDGE = " .·•-–—\t"
 #: Characters whose full case folding differs from lower-casing once only a-z and 0-9 are kept; a blank stands for a lost accent.
 FOLDED = {"ß": "ss", "ẞ": "ss", "ŉ": " n", "ſ": "s", "ǰ": "j ", "ẖ": "h ", "ẗ": "t ", "ẘ": "w ", "ẙ": "y ", "ẚ": "a ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}

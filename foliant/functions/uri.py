@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from foliant import constants as K
 
-EMAIL = r"\A[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}\z"
-WEB = r"(?i)\A(?:https?://|www\.)[^\s<>]+\z"
-DOMAIN = r"\A(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?::[0-9]{1,5})?(?:/[^\s<>]*)?\z"
-SUPPORTED = r"(?i)\A(?:(?:https?|ftp)://[^/?#]|mailto:[^?#]*@)"
+EMAIL, WEB, DOMAIN = rf"\A{K.EMAIL}\z", rf"(?i)\A{K.WEB}\z", rf"\A{K.DOMAIN}\z"
+SUPPORTED = rf"(?i)\A{K.SUPPORTED}"
 
 
 def bare_value(raw: Column) -> Column:

@@ -103,10 +103,11 @@ def page_selection(links: DataFrame, page_counts: DataFrame) -> DataFrame:
 
 
 def path_collisions(paths: DataFrame) -> DataFrame:
-    """``paths`` (name, path) -> pairs of names for one path; ``.`` and empty parts don't count."""
+    """``paths`` (name, path) -> (first, second, path): each further name of a path with its first; ``.`` and empty parts don't count."""
     plain = F.regexp_replace(F.regexp_replace("path", r"/(?:\./)+", "/"), r"/{2,}", "/")
-    rows = paths.where("path is not null").select("name", plain.alias("path"))
-    return rows.alias("a").join(rows.alias("b"), "path").where("a.name < b.name").select(F.col("a.name").alias("first"), F.col("b.name").alias("second"), "path")
+    rows = paths.where("path is not null and name is not null").select("name", plain.alias("path")).distinct()
+    first = rows.groupBy("path").agg(F.min("name").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, "path").where("name <> first").select("first", F.col("name").alias("second"), "path")
 
 
 HEX = r"\A[0-9a-fA-F]{64}\z"

@@ -46,7 +46,7 @@ FACTS_SQL = f"""{LINES_SQL}, {ANCHORS_SQL},
 facts AS (SELECT p.doc_id, p.page_index, p.norm, coalesce(r.n, 0) AS parsed_rows, coalesce(c.candidate_lines, 0) AS candidate_lines, coalesce(a.ordinal_anchors, 0) AS ordinal_anchors
   FROM (SELECT doc_id // 10 AS doc_id, CAST(doc_id % 10 AS INTEGER) AS page_index, {sql_norm("replace(text, chr(10), ' ')")} AS norm FROM documents) p
   LEFT JOIN (SELECT doc_id, page_index, count(*) AS n FROM toc_rows GROUP BY ALL) r USING (doc_id, page_index) LEFT JOIN candidates c USING (doc_id, page_index) LEFT JOIN anchors a USING (doc_id, page_index)),
-seeds AS (SELECT doc_id, page_index FROM facts WHERE parsed_rows >= 6 OR (parsed_rows >= 2 AND ({" OR ".join(f"contains(norm, '{h}')" for h in K.TOC_HEADINGS)}))),
+seeds AS (SELECT doc_id, page_index FROM facts WHERE parsed_rows >= 1 OR parsed_rows >= 6 OR (parsed_rows >= 2 AND ({" OR ".join(f"contains(norm, '{h}')" for h in K.TOC_HEADINGS)}))),
 marked AS (SELECT f.doc_id, f.page_index, s.doc_id IS NOT NULL AS seed FROM facts f LEFT JOIN seeds s USING (doc_id, page_index) WHERE s.doc_id IS NOT NULL OR greatest(candidate_lines, ordinal_anchors) >= 5),
 isles AS (SELECT *, page_index - row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS isle FROM marked),
 toc_pages AS (SELECT doc_id, page_index FROM (SELECT *, bool_or(seed) OVER (PARTITION BY doc_id, isle) AS held FROM isles) WHERE held)"""
@@ -86,7 +86,7 @@ def q_ordinal_anchors(spark, d):
 
 def q_toc_pages(spark, d):
     facts = facts_of(spark, d)
-    return pagination.detect_toc_pages(facts, layout.seed_toc_pages(facts))
+    return pagination.detect_toc_pages(facts, layout.seed_toc_pages(facts).union(facts.where("parsed_rows >= 1").select("doc_id", "page_index")).distinct())
 
 
 def q_toc_completeness(spark, d):

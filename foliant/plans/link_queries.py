@@ -250,7 +250,7 @@ ORACLE_SQL = {
     "page_parity": "WITH a AS (SELECT doc_id, sha256(text) AS s, n_chars, lang FROM documents), b AS (SELECT CASE WHEN doc_id % 97 = 11 THEN -doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 37 = 1 THEN '0' ELSE s END AS s, n_chars, CASE WHEN doc_id % 41 <> 2 THEN lang END AS lang FROM a WHERE doc_id % 31 <> 5) SELECT * FROM (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'missing' WHEN a.s IS DISTINCT FROM b.s THEN 'content_sha256' WHEN a.n_chars IS DISTINCT FROM b.n_chars THEN 'n_chars' WHEN a.lang IS DISTINCT FROM b.lang THEN 'lang' END AS fault FROM a FULL JOIN b ON a.doc_id = b.doc_id) WHERE fault IS NOT NULL",
     "count_reconcile": f"WITH {ANNOTATIONS_SQL}, k AS (SELECT doc_id, kind, page_index * 7 + annot_seq AS m FROM kinds), s AS (SELECT doc_id, kind, count(*) FILTER (WHERE m % 2 = 0) AS existing, count(*) FILTER (WHERE m % 2 = 1 AND doc_id % 3 <> 0) AS added, count(*) FILTER (WHERE doc_id % 5 <> 1 OR m % 4 <> 2) AS final FROM k GROUP BY ALL) SELECT * FROM s WHERE existing + added <> final",
     "multiset_match": "WITH l AS (SELECT l_suppkey AS a, l_returnflag AS b, CAST(l_quantity AS INTEGER) AS c, l_orderkey * 7 + l_linenumber AS m FROM lineitem), x AS (SELECT a, b, c, count(*) AS n FROM l GROUP BY ALL), y AS (SELECT a, b, CASE WHEN m % 103 = 0 THEN c + 1 ELSE c END AS c, count(*) AS n FROM l WHERE m % 101 <> 0 GROUP BY ALL) SELECT coalesce(x.a, y.a) AS a, coalesce(x.b, y.b) AS b, coalesce(x.c, y.c) AS c, CASE WHEN coalesce(x.n, 0) > coalesce(y.n, 0) THEN 'missing' ELSE 'unexpected' END AS side, abs(coalesce(x.n, 0) - coalesce(y.n, 0)) AS n FROM x FULL JOIN y ON x.a = y.a AND x.b = y.b AND x.c = y.c WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)",
-    "path_collision": "WITH p AS (SELECT 'p' || page_id AS name, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]*', '/data') || CASE WHEN page_id % 2 = 0 THEN '/./x' ELSE '//x' END, '/(?:\\./)+', '/', 'g'), '/{2,}', '/', 'g') AS path FROM pages) SELECT a.name AS first, b.name AS second FROM p a JOIN p b ON a.path = b.path AND a.name < b.name",
+    "path_collision": "WITH p AS (SELECT 'p' || page_id AS name, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]*', '/data') || CASE WHEN page_id % 2 = 0 THEN '/./x' ELSE '//x' END, '/(?:\\./)+', '/', 'g'), '/{2,}', '/', 'g') AS path FROM pages) SELECT first, name AS second FROM p JOIN (SELECT path, min(name) AS first FROM p GROUP BY path) USING (path) WHERE name <> first",
     "manifest_validation": """WITH m AS (SELECT page_id AS doc_id, page_id % 12 AS n, page_id % 2 = 0 AS internal FROM pages)
 SELECT * FROM (SELECT doc_id, CASE WHEN n BETWEEN 1 AND 6 THEN 0 ELSE 1 END AS position, CASE n WHEN 1 THEN 'manifest must be an object with a links array' WHEN 2 THEN 'manifest is neither PASS nor reviewed' WHEN 3 THEN 'manifest schema_version is not supported' WHEN 4 THEN 'manifest requires input_sha256' WHEN 5 THEN 'manifest hashes disagree' WHEN 6 THEN 'manifest input_sha256 belongs to another file'
   WHEN 7 THEN 'unsupported kind' WHEN 8 THEN 'invalid source page' WHEN 9 THEN 'invalid rectangle' WHEN 10 THEN CASE WHEN internal THEN 'invalid target page' END WHEN 11 THEN CASE WHEN NOT internal THEN 'unsupported URI' END END AS error FROM m) WHERE error IS NOT NULL""",

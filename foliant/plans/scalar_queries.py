@@ -53,12 +53,10 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 URI_SQL = {}
 _VALUE = r"""rtrim(ltrim(regexp_replace(token, '^\s+|\s+$', '', 'g'), '([{<''"'), '.,;:!?)]}>''"')"""
-_EMAIL = r"regexp_matches(v, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}$')"
-_WEB = r"regexp_matches(v, '^(?:https?://|www\.)[^\s<>]+$', 'i')"
-_DOMAIN = r"regexp_matches(v, '^(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?::[0-9]{1,5})?(?:/[^\s<>]*)?$')"
+_EMAIL, _WEB, _DOMAIN = f"regexp_matches(v, '^{K.EMAIL}$')", f"regexp_matches(v, '^{K.WEB}$', 'i')", f"regexp_matches(v, '^{K.DOMAIN}$')"
 SQL_URI = f"CASE WHEN {_EMAIL} THEN 'mailto:' || v WHEN {_WEB} THEN CASE WHEN regexp_matches(v, '^https?://', 'i') THEN v ELSE 'https://' || v END END"
 SQL_URI_BARE = f"CASE WHEN {_EMAIL} OR {_WEB} THEN {SQL_URI} WHEN {_DOMAIN} AND NOT list_contains({sql_list(K.BLOCKED_FILE_TLDS)}, lower(regexp_extract(v, '^[^/:]*\\.([^./:]+)(?:[:/]|$)', 1))) THEN 'https://' || v END"
-SQL_SUPPORTED = r"coalesce(regexp_matches({u}, '^(?:(?:https?|ftp)://[^/?#]|mailto:[^?#]*@)', 'i'), false)"
+SQL_SUPPORTED = "coalesce(regexp_matches({u}, '^" + K.SUPPORTED + "', 'i'), false)"
 _ADDRESSES = f"addresses AS (SELECT token FROM tokens UNION SELECT url FROM pages UNION SELECT regexp_extract(url, '://([^/?#]*)', 1) FROM pages UNION SELECT '(' || regexp_extract(url, '://([^/?#]*)', 1) || '/a.' FROM pages)"
 
 
