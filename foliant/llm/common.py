@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into objects at once; a longer single text is its own slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of a key from which on it may count as hot; hot keys that are sent to the executors at most.
 HOT, SENT_KEYS = 64, 100_000
 
@@ -39,6 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little to do may put off for a whole job.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    trim()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written to the shared one."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, so later steps neither recompute it nor depend on one executor."""
     shared_dir(df.sparkSession)
@@ -86,10 +103,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 class Table:
-    """Numbers by 64-bit keys, many looked up at a time: open addressing, a quarter full at most."""
+    """Numbers by 64-bit keys, many looked up at a time: open addressing, half full at most."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.bits = max(4, (2 * len(keys)).bit_length())
         self.key = np.full(1 << self.bits, FREE, np.uint64)
         self.value = np.full(1 << self.bits, -1, np.int32)
         left = np.arange(len(keys))

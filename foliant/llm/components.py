@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, join_hot
+from foliant.llm.common import cut, join_hot, release
 
 
 class Forest:
@@ -54,6 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = join_hot(star, low, "u", 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
         before, mark = mark, _mark(edges)
+        release(edges)
         if mark == before:
             break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -46,7 +46,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words whose pieces a worker remembers; beyond it the older half goes. Bits of its memory of pairs.
-REMEMBERED, PAIRS = 150_000, 20
+REMEMBERED, PAIRS = 150_000, 19
 #: Words of a run of the depth-first order; characters from which on a word is walked by itself.
 RUN, LONG = 1 << 14, 48
 
@@ -95,7 +95,6 @@ class Pieces:
         self.crosses = any(MARK in p.lstrip(MARK) for p in self.id)
         inside = {c for p in self.id if len(p) > 1 for c in p}
         self.alone = "".join(c for c in "\n\t\x0b\x0c\r" if c not in inside)
-        self._encoder: Encoder | None = None
         self._bytes: pa.Array | None = None
         self.bytes = [b"" if t in (CONTROL, UNKNOWN) else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, (p, _, t) in enumerate(pieces)]
 
@@ -118,12 +117,6 @@ class Pieces:
                     raise ValueError("only models that leave characters and blanks as they are can be used")
         return cls(pieces, kind, byte_fallback, dummy)
 
-    def encoder(self) -> Encoder:
-        """The encoder that this process keeps."""
-        if self._encoder is None:
-            self._encoder = Encoder(self)
-        return self._encoder
-
     def byte_array(self) -> pa.Array:
         if self._bytes is None:
             self._bytes = pa.array(self.bytes, pa.binary())
@@ -144,24 +137,35 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes slices of texts; remembers words and pairs between them, so a worker keeps one (``Pieces.encoder``)."""
+    """Encodes slices of texts; remembers words and pairs between them. Its tables are made on the driver and sent along."""
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
         self.apart: dict[tuple[str, str], bool] = {}
         self.ties = {s for s, n in _tally(pieces.score[i] for i in pieces.id.values()).items() if n > 1}
-        self.halves = lru_cache(maxsize=None)(self._halves)  # one entry a piece at most, as below
-        self.in_order = lru_cache(maxsize=None)(self._in_order)
+        self._remember()
         by_last: dict[str, set[int]] = {}
         for t in pieces.id:
             by_last.setdefault(t[-1], set()).add(len(t))
         self.lengths = {c: sorted(n - {1}, reverse=True) for c, n in by_last.items()}
         self._symbols()
+
+    def _remember(self) -> None:
+        """Start with empty memories."""
+        self.halves = lru_cache(maxsize=None)(self._halves)  # one entry a piece at most, as below
+        self.in_order = lru_cache(maxsize=None)(self._in_order)
         self.known: dict[bytes, int] = {}  # word -> its number in:
         self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pair = np.full(1 << PAIRS, FREE, np.uint64)
         self.pair_stays = np.zeros(1 << PAIRS, bool)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("halves", "in_order", "known", "sizes", "ids", "pair", "pair_stays", "apart")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, apart={})
+        self._remember()
+
     def _symbols(self) -> None:
         """Pieces, and the characters inside them, as numbers with their scores, halves and order, for the walk in numpy."""
         p = self.p
@@ -558,12 +562,12 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     ``model``: path on the driver of a SentencePiece model whose normaliser is the identity.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces.read(model))
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(Pieces.read(model)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        encoder = pieces.encoder()
+        encoder = shared.value
+        pieces = encoder.p
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = pc.fill_null(part.column("text"), "")
