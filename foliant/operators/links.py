@@ -54,6 +54,12 @@ def visible_urls(words: DataFrame, pages: DataFrame, allow_bare_domains: bool =
     return found.select("doc_id", "page_index", "word_seq", F.lit("external").alias("kind"), box.alias("rect"), "uri", F.col("text").alias("label"), (F.pmod("rotate", F.lit(360)) != 0).alias("rotated"))
 
 
+def sheet_urls(facts: DataFrame, allow_bare_domains: bool = False) -> DataFrame:
+    """``visible_urls`` from ``layout.sheet_facts``."""
+    found = facts.select("doc_id", "page_index", "rotate", F.explode("urls").alias("w"))
+    return found.select("doc_id", "page_index", "w.word_seq", F.lit("external").alias("kind"), "w.rect", normalized_uri(F.col("w.text"), allow_bare_domains).alias("uri"), F.col("w.text").alias("label"), (F.pmod("rotate", F.lit(360)) != 0).alias("rotated"))
+
+
 def bare_domain_skips(words: DataFrame) -> DataFrame:
     """Per document, how many words are addresses only if bare domains are allowed."""
     return words.groupBy("doc_id").agg(F.count_if(bare_domain(F.col("text"))).alias("skipped_bare_domain_candidates"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliant.functions import geometry
 from foliant.operators import gates, links, verify
 from foliant.plans import plan
-from foliant.plans.layout_queries import pages_of, words_of
+from foliant.plans.layout_queries import pages_of, sheets_of
 from foliant.plans.scalar_queries import _RECT_ERROR, RECTS_SQL, SQL_SUPPORTED, rects, sql_overlap, table
 
 
@@ -202,9 +202,7 @@ def q_ordered_distinct(spark, d):
 
 
 def auto(spark, d):
-    from foliant.plans.plan import automatic_plan
-
-    return automatic_plan(words_of(spark, d), pages_of(spark, d), annotations_of(spark, d))
+    return plan.sheet_plan(sheets_of(spark, d), annotations_of(spark, d))
 
 
 def q_plan_links(spark, d):
